@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cohortia.session import cut_lineage
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -52,15 +54,17 @@ def running(
     descending: bool = False,
     totals: dict[str, str] | None = None,
     strict: bool = False,
+    peers: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running aggregates over ``order`` inside each ``by`` key.
 
     ``aggs`` maps output -> (sum|min|max, column). Rows with equal order values are peers and all get the value
-    including every peer (SQL RANGE semantics); ``strict`` leaves the peers out (sums only).
+    including every peer (SQL RANGE semantics); ``strict`` leaves the peers out (sums only). ``peers`` maps
+    output -> column for sums over the peers alone.
     ``totals`` maps output -> column for whole-key sums, taken from the bucket totals.
     """
     by = list(by)
-    totals = totals or {}
+    totals, peers = totals or {}, peers or {}
     part = [F.col(c) for c in by] or [F.lit(0)]
     sums = sorted({c for f, c in aggs.values() if f == "sum"} | set(totals.values()))
     pre = [F.sum(c).alias(f"_t_sum_{c}") for c in sums]
@@ -77,11 +81,12 @@ def running(
     )
     oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     inside = W.partitionBy(*by, bucket).orderBy(*oc).rangeBetween(W.unboundedPreceding, W.currentRow)
-    peers = W.partitionBy(*by, bucket, *order)
+    tied = W.partitionBy(*by, bucket, *order)
     loc = cells.select(
         "*",
         *[_AGG[f](c).over(inside).alias(f"_l_{o}") for o, (f, c) in aggs.items()],
-        *([F.sum(c).over(peers).alias(f"_p_{o}") for o, (f, c) in aggs.items()] if strict else []),
+        *([F.sum(c).over(tied).alias(f"_p_{o}") for o, (f, c) in aggs.items()] if strict else []),
+        *[F.sum(c).over(tied).alias(o) for o, c in peers.items()],
     )
     joined = loc.join(carry, [*by, bucket])
 
@@ -94,37 +99,40 @@ def running(
     return joined.select(
         *[F.col(c) for c in cells.columns],
         *[merged(o, f).alias(o) for o, (f, _) in aggs.items()],
-        *[F.col(o) for o in totals],
+        *[F.col(o) for o in (*totals, *peers)],
     )
 
 
-def rank_table(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[float] | None = None,
-               weight: str | None = None) -> DataFrame:
+def ranked_cells(cells: DataFrame, by: Sequence[str], value: str, n: str = "n") -> DataFrame:
+    """Average-tie rank for weighted cells (several cells may share a value): adds ``rank``, ``ties``, ``n_total``.
+
+    ``cells`` must be cheap to read twice (a stored table).
+    """
+    out = running(with_bucket(cells, value, bucket_edges(cells, value)), by, [value], {"_cum": ("sum", n)},
+                  totals={"n_total": n}, peers={"ties": n})
+    return out.withColumn("rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum", "_b")
+
+
+def rank_table(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per distinct (by, value): ``rank`` (average of ties), ``ties``, ``n_total``."""
-    src = df.where(F.col(value).isNotNull())
-    if edges is None:
-        edges = bucket_edges(src, value)
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = with_bucket(src.groupBy(*by, value).agg(n.alias("ties")), value, edges)
-    out = running(cells, by, [value], {"_cum": ("sum", "ties")}, totals={"n_total": "ties"})
-    return out.select(*by, value, (F.col("_cum") - (F.col("ties") - 1) / 2.0).alias("rank"), "ties", "n_total")
+    cells = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n")))
+    return ranked_cells(cells, by, value, "_n").select(*by, value, "rank", "ties", "n_total")
 
 
-def add_rank(df: DataFrame, by: Sequence[str], value: str, out: str, edges: Sequence[float] | None = None) -> DataFrame:
-    """Attach the average-tie rank of ``value`` within ``by`` to every row (nulls dropped)."""
-    rt = rank_table(df, by, value, edges).select(*by, value, F.col("rank").alias(out))
+def add_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Attach the average-tie rank of ``value`` within ``by`` to every row (nulls dropped). ``df`` is read twice."""
+    rt = rank_table(df, by, value).select(*by, value, F.col("rank").alias(out))
     return df.join(rt, [*by, value])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-              edges: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
+              weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key (``probs`` maps output name -> probability), plus ``n``."""
-    src = df.where(F.col(value).isNotNull())
-    if edges is None:
-        edges = bucket_edges(src, value)
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = with_bucket(src.groupBy(*by, value).agg(n.alias("_n")), value, edges)
-    run = running(cells, by, [value], {"_cum": ("sum", "_n")}, totals={"_tot": "_n"})
+    cells = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n")))
+    run = running(with_bucket(cells, value, bucket_edges(cells, value)), by, [value], {"_cum": ("sum", "_n")},
+                  totals={"_tot": "_n"})
 
     def at(pos: Column) -> Column:
         hit = (F.col("_cum") > pos) & (F.col("_cum") - F.col("_n") <= pos)
@@ -152,18 +160,18 @@ def draw_order(df: DataFrame, by: Sequence[str], seed: int, keys: Sequence[str],
     The first hex digits of the md5 are uniform and order-preserving, so they serve as buckets without any pass.
     """
     d = df.withColumn("_k", draw_key(seed, *by, *keys)).withColumn("_one", F.lit(1))
-    d = d.withColumn("_b", F.substring("_k", 1, 2))
+    d = cut_lineage(d.withColumn("_b", F.substring("_k", 1, 2)))
     return running(d, by, ["_k", *keys], {out: ("sum", "_one")}).drop("_k", "_one", "_b")
 
 
 def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg within each family; null or out-of-range p stay in the output with null FDR and do
     not count towards the family size."""
+    df = cut_lineage(df)  # one row per test: write it once instead of running the screen for every branch below
     ok = df.where(F.col(p).between(0.0, 1.0) & ~F.isnan(p))
-    edges = bucket_edges(ok, p)
-    cells = with_bucket(ok.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")), p, edges)
-    up = running(cells, family, [p], {"_r": ("sum", "_n")}, totals={"_m": "_n"})
-    raw = up.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    cells = cut_lineage(ok.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")))
+    up = running(with_bucket(cells, p, bucket_edges(cells, p)), family, [p], {"_r": ("sum", "_n")}, totals={"_m": "_n"})
+    raw = cut_lineage(up.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r")))
     adj = running(raw, family, [p], {"_adj": ("min", "_q")}, descending=True)
     adj = adj.select(*family, F.col(p), F.least(F.col("_adj"), F.lit(1.0)).alias(out))
     return df.join(adj, [*family, p], "left")

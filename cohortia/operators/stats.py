@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortia.functions.tails import chi2_sf, f_sf, fisher2, hyper_sf, norm_sf2, t_sf2
-from cohortia.session import distinct_values
-from cohortia.operators.ordered import add_rank, bh_fdr, bucket_edges, rank_table
+from cohortia.operators.ordered import add_rank, bh_fdr, rank_table, ranked_cells
+from cohortia.session import cut_lineage, distinct_values
 
 
 def _grouped(expr: DataFrame, grp: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -53,65 +53,59 @@ def anova(expr: DataFrame, grp: DataFrame, by: Sequence[str] = (), min_group: in
     return out.withColumn("p", f_sf("f", "df1", "df2")) if with_p else out
 
 
-def _rank_sums(expr: DataFrame, grp: DataFrame, by: Sequence[str], min_group: int) -> tuple[DataFrame, DataFrame]:
-    """(per (feature,label): n, rank sum), (per feature: tie term). Values are collapsed to cells before ranking."""
-    g = _grouped(expr, grp, by)
-    cells = g.groupBy(*by, "feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    if min_group > 1:
-        sizes = cells.groupBy(*by, "feature", "label").agg(F.sum("n").alias("_s")).where(F.col("_s") >= min_group)
-        cells = cells.join(sizes.drop("_s"), [*by, "feature", "label"], "left_semi")
-    rt = rank_table(cells, [*by, "feature"], "value", bucket_edges(expr, "value"), weight="n")
-    sums = (
-        cells.join(rt.select(*by, "feature", "value", "rank"), [*by, "feature", "value"])
-        .groupBy(*by, "feature", "label")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
-    )
-    tc = F.col("ties").cast("double")
-    ties = rt.groupBy(*by, "feature").agg(F.sum(tc * tc * tc - tc).alias("tie"), F.max("n_total").alias("n_total"))
-    return sums, ties
+def _label_cells(expr: DataFrame, grp: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, feature, value, label, n), stored once: every later branch reads this table, not the samples."""
+    return cut_lineage(_grouped(expr, grp, by).groupBy(*by, "feature", "value", "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _rank_sums(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per (by, feature, label): n, rank_sum, tie (share of the tie term), n_total."""
+    t = F.col("ties").cast("double")
+    return ranked_cells(cells, [*by, "feature"], "value").groupBy(*by, "feature", "label").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),
+        F.sum(F.col("n") * (t * t - 1)).alias("tie"), F.max("n_total").alias("n_total"))
 
 
 def kruskal(expr: DataFrame, grp: DataFrame, by: Sequence[str] = (), min_group: int = 3,
             with_p: bool = True) -> DataFrame:
     """Kruskal-Wallis H per feature with tie correction; features with fewer than two usable groups get h = 0."""
-    sums, ties = _rank_sums(expr, grp, by, min_group)
-    h = sums.groupBy(*by, "feature").agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"),
-                                         F.count(F.lit(1)).alias("k"))
+    cells = _label_cells(expr, grp, by)
+    sizes = cells.groupBy(*by, "feature", "label").agg(F.sum("n").alias("_s"))
+    usable = cells.join(sizes.where(F.col("_s") >= min_group).drop("_s"), [*by, "feature", "label"], "left_semi")
+    h = _rank_sums(usable, by).groupBy(*by, "feature").agg(
+        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k"),
+        F.sum("tie").alias("tie"), F.max("n_total").alias("n_total"))
     n = F.col("n_total").cast("double")
     raw = 12.0 / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)
     fixed = raw / F.nullif(1.0 - F.col("tie") / (n * n * n - n), F.lit(0.0))
-    out = h.join(ties, [*by, "feature"]).select(
-        *by, "feature", F.when(F.col("k") >= 2, F.coalesce(fixed, F.lit(0.0))).otherwise(0.0).alias("h"),
-        (F.col("k") - 1).alias("df"))
-    feats = expr.select("feature").distinct() if not by else expr.select(*by, "feature").distinct()
+    out = h.select(*by, "feature", F.when(F.col("k") >= 2, F.coalesce(fixed, F.lit(0.0))).otherwise(0.0).alias("h"),
+                   (F.col("k") - 1).alias("df"))
+    feats = sizes.select(*by, "feature").distinct()
     out = feats.join(out, [*by, "feature"], "left").na.fill({"h": 0.0, "df": 0})
     return out.withColumn("p", chi2_sf("h", "df")) if with_p else out
 
 
 def auc_one_vs_rest(expr: DataFrame, grp: DataFrame, by: Sequence[str] = (), min_group: int = 3) -> DataFrame:
     """Folded one-vs-rest ROC AUC per (feature, label) from rank sums; both sides need ``min_group`` samples."""
-    sums, ties = _rank_sums(expr, grp, by, 1)
+    sums = _rank_sums(_label_cells(expr, grp, by), by)
     n, tot = F.col("n"), F.col("n_total")
     auc = (F.col("rank_sum") - n * (n + 1) / 2.0) / (n * (tot - n))
-    return (
-        sums.join(ties, [*by, "feature"]).where((n >= min_group) & (tot - n >= min_group))
-        .select(*by, "feature", "label", auc.alias("auc"), F.greatest(auc, 1 - auc).alias("folded_auc"))
-    )
+    return sums.where((n >= min_group) & (tot - n >= min_group)).select(
+        *by, "feature", "label", auc.alias("auc"), F.greatest(auc, 1 - auc).alias("folded_auc"))
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first, with_p: bool = True) -> DataFrame:
     """Mann-Whitney U of group == first against the rest, tie-corrected normal approximation with continuity."""
-    e = df.select(*by, F.lit("x").alias("feature"), F.col(value).cast("double").alias("value"),
+    e = df.select(*by, F.col(value).cast("double").alias("value"),
                   F.when(F.col(group) == F.lit(first), 1).otherwise(0).alias("label"))
-    cells = e.where("value IS NOT NULL").groupBy(*by, "feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    rt = rank_table(cells, [*by, "feature"], "value", bucket_edges(e, "value"), weight="n")
-    tc = F.col("ties").cast("double")
-    t = rt.groupBy(*by).agg(F.sum(tc * tc * tc - tc).alias("tie"))
-    s = cells.join(rt.select(*by, "feature", "value", "rank"), [*by, "feature", "value"]).groupBy(*by).agg(
+    cells = cut_lineage(e.where("value IS NOT NULL").groupBy(*by, "value", "label").agg(F.count(F.lit(1)).alias("n")))
+    rk = ranked_cells(cells, by, "value")
+    t = F.col("ties").cast("double")
+    j = rk.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("n1"),
         F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("n2"),
-        F.sum(F.when(F.col("label") == 1, F.col("n") * F.col("rank"))).alias("r1"))
-    j = s.join(t, list(by)) if by else s.join(F.broadcast(t), on=F.lit(True))
+        F.sum(F.when(F.col("label") == 1, F.col("n") * F.col("rank"))).alias("r1"),
+        F.sum(F.col("n") * (t * t - 1)).alias("tie"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
     sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
@@ -124,15 +118,13 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first
 def wilcoxon_signed_rank(df: DataFrame, by: Sequence[str], value: str, with_p: bool = True) -> DataFrame:
     """Signed-rank test against zero; zeros dropped, normal approximation with tie correction."""
     nz = df.where(F.col(value) != 0).select(*by, F.abs(value).alias("_a"), F.signum(value).alias("_s"))
-    cells = nz.groupBy(*by, "_a", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    rt = rank_table(cells, by, "_a", bucket_edges(nz, "_a"), weight="_n")
-    tc = F.col("ties").cast("double")
-    j = cells.join(rt, [*by, "_a"])
-    s = j.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.sum(F.when(F.col("_s") > 0, F.col("_n") * F.col("rank")).otherwise(0.0)).alias("w_pos"),
-        F.sum(F.when(F.col("_s") < 0, F.col("_n") * F.col("rank")).otherwise(0.0)).alias("w_neg"),
-        F.sum(F.col("_n") / tc * (tc * tc * tc - tc)).alias("tie"))
+    cells = cut_lineage(nz.groupBy(*by, "_a", "_s").agg(F.count(F.lit(1)).alias("n")))
+    t = F.col("ties").cast("double")
+    s = ranked_cells(cells, by, "_a").groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("_s") > 0, F.col("n") * F.col("rank")).otherwise(0.0)).alias("w_pos"),
+        F.sum(F.when(F.col("_s") < 0, F.col("n") * F.col("rank")).otherwise(0.0)).alias("w_neg"),
+        F.sum(F.col("n") * (t * t - 1)).alias("tie"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie") / 48.0)
     z = (F.least("w_pos", "w_neg") - n * (n + 1) / 4.0) / F.nullif(sd, F.lit(0.0))
@@ -146,13 +138,11 @@ def correlation_p(out: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
     return out.withColumn("p", t_sf2(c * F.sqrt((F.col(n) - 2) / (1 - c * c)), F.col(n) - 2))
 
 
-def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 10, with_p: bool = True,
-             x_edges: list[float] | None = None, y_edges: list[float] | None = None) -> DataFrame:
+def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 10, with_p: bool = True) -> DataFrame:
     """Spearman rho per key from distributed ranks: rho, n (and p). Constant sides give null rho."""
     ok = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    cells = ok.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n"))
-    rx = rank_table(cells, by, x, x_edges or bucket_edges(ok, x), weight="_n")
-    ry = rank_table(cells, by, y, y_edges or bucket_edges(ok, y), weight="_n")
+    cells = cut_lineage(ok.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n")))
+    rx, ry = rank_table(cells, by, x, "_n"), rank_table(cells, by, y, "_n")
     j = cells.join(rx.select(*by, x, F.col("rank").alias("_rx")), [*by, x]).join(
         ry.select(*by, y, F.col("rank").alias("_ry")), [*by, y])
     w = F.col("_n")
@@ -170,8 +160,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 1
 def survival_spearman(expr: DataFrame, surv: DataFrame, by: Sequence[str] = (), with_p: bool = True) -> DataFrame:
     """Spearman of each feature with survival time (ignores censoring, as the screen it stands for does)."""
     pairs = expr.join(surv.select(*by, "sample_id", "duration"), [*by, "sample_id"])
-    return spearman(pairs, [*by, "feature"], "value", "duration", with_p=with_p,
-                    x_edges=bucket_edges(expr, "value"), y_edges=bucket_edges(surv, "duration"))
+    return spearman(pairs, [*by, "feature"], "value", "duration", with_p=with_p)
 
 
 def two_by_two(events: DataFrame, grp: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -181,9 +170,8 @@ def two_by_two(events: DataFrame, grp: DataFrame, by: Sequence[str] = ()) -> Dat
     """
     g = grp.where("label IS NOT NULL").select(*by, "sample_id", "label").distinct()
     sizes = g.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_in"))
-    n_all = sizes.groupBy(*by).agg(F.sum("n_in").alias("n_all"))
     hit = events.select(*by, "sample_id", "gene").distinct().join(g, [*by, "sample_id"])
-    a = hit.groupBy(*by, "gene", "label").agg(F.count(F.lit(1)).alias("a"))
+    a = cut_lineage(hit.groupBy(*by, "gene", "label").agg(F.count(F.lit(1)).alias("a")))
     per_gene = a.groupBy(*by, "gene").agg(F.sum("a").alias("pos"))
     # genes x labels frame: labels are a handful per key and carried as one array, not a cross join
     labels = sizes.groupBy(*by).agg(F.collect_list(F.struct("label", "n_in")).alias("_l"), F.sum("n_in").alias("n_all"))
@@ -288,9 +276,8 @@ def pair_spearman(expr: DataFrame, genes: DataFrame, by: Sequence[str] = (), max
     """
     names = distinct_values(genes, "feature", max_genes)
     d = len(names)
-    x = expr.join(genes, "feature", "left_semi")
-    r = add_rank(x.select(*by, "sample_id", "feature", "value"), [*by, "feature"], "value", "rank",
-                 bucket_edges(x, "value"))
+    x = cut_lineage(expr.join(genes, "feature", "left_semi").select(*by, "sample_id", "feature", "value"))
+    r = add_rank(x, [*by, "feature"], "value", "rank")
     packed = r.groupBy(*by, "sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("m"))
     order = F.array(*[F.lit(n) for n in names])
     vec = packed.select(*by, F.transform(order, lambda f: F.coalesce(F.try_element_at("m", f), F.lit(float("nan")))).alias("v"))
@@ -321,9 +308,9 @@ def pair_spearman(expr: DataFrame, genes: DataFrame, by: Sequence[str] = (), max
 
 def matrix_agreement(pairs: DataFrame, cohort: str, left, right) -> DataFrame:
     """Rank correlation of two cohorts' pair vectors and the share of pairs with the same sign."""
-    p = pairs.groupBy("a", "b").agg(
+    p = cut_lineage(pairs.groupBy("a", "b").agg(
         F.max(F.when(F.col(cohort) == F.lit(left), F.col("rho"))).alias("x"),
-        F.max(F.when(F.col(cohort) == F.lit(right), F.col("rho"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+        F.max(F.when(F.col(cohort) == F.lit(right), F.col("rho"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL"))
     sign = p.agg(F.avg((F.signum("x") == F.signum("y")).cast("double")).alias("sign_concordance"))
     rho = spearman(p, [], "x", "y", min_n=3, with_p=False)
     return rho.join(F.broadcast(sign), on=F.lit(True)).select("n", F.col("rho").alias("matrix_rho"), "sign_concordance")
@@ -332,9 +319,9 @@ def matrix_agreement(pairs: DataFrame, cohort: str, left, right) -> DataFrame:
 def marker_table(expr: DataFrame, grp: DataFrame) -> DataFrame:
     """Per (feature, label): mean in the group, mean outside, difference, standardised effect."""
     m = group_moments(expr, grp).withColumn("sq", F.col("ss") + F.col("n") * F.col("mean") * F.col("mean"))
-    tot = m.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("total").alias("T"), F.sum("sq").alias("Q"))
+    tot = m.groupBy("feature").agg(F.sum("n").alias("n_all"), F.sum("total").alias("t_all"), F.sum("sq").alias("q_all"))
     j = m.join(tot, "feature")
-    n2, t2, q2 = F.col("N") - F.col("n"), F.col("T") - F.col("total"), F.col("Q") - F.col("sq")
+    n2, t2, q2 = F.col("n_all") - F.col("n"), F.col("t_all") - F.col("total"), F.col("q_all") - F.col("sq")
     mean2 = t2 / n2
     v1, v2 = F.col("ss") / F.col("n"), q2 / n2 - mean2 * mean2
     return j.where(n2 > 0).select(

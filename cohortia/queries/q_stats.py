@@ -119,7 +119,7 @@ def bh(spark, d):
 @query("over_representation", with_sql("s AS (SELECT DISTINCT p_type AS set_name, p_name AS gene FROM part)",
        "h AS (SELECT DISTINCT p_name AS gene FROM part WHERE p_size > 48)",
        "k AS (SELECT set_name, count(*) AS n_set, count(h.gene) AS k FROM s LEFT JOIN h USING (gene) GROUP BY 1)",
-       body=f"SELECT set_name, n_set, k, (SELECT count(*) FROM h) AS n_draw, {r(st.hyper_sf('k', '200', 'n_set', '(SELECT count(*) FROM h)'))} AS p FROM k"))
+       body=f"SELECT set_name, n_set, k, n_draw, {r(st.hyper_sf('k', '200', 'n_set', 'n_draw'))} AS p FROM k CROSS JOIN (SELECT count(*) AS n_draw FROM h)"))
 def ora(spark, d):
     p = table(spark, d, "part")
     return rounded(stats.over_representation(p.where("p_size > 48").select(F.col("p_name").alias("gene")),
@@ -136,12 +136,12 @@ def mwu(spark, d):
     return rounded(stats.mann_whitney(e, ["arm"], "value", "event_type", "purchase", with_p=False))
 
 
-@query("wilcoxon_signed_rank", with_sql("e AS (SELECT event_type, round(value - 20.0, 1) AS x FROM events WHERE round(value - 20.0, 1) <> 0)",
+@query("wilcoxon_signed_rank", with_sql("e AS (SELECT event_type, (value - 20.0) AS x FROM events WHERE (value - 20.0) <> 0)",
        "k AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY abs(x)) + (count(*) OVER (PARTITION BY event_type, abs(x)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY event_type, abs(x)) AS ties FROM e)",
        "s AS (SELECT event_type, count(*) AS n, coalesce(sum(rk) FILTER (x > 0), 0) AS w_pos, coalesce(sum(rk) FILTER (x < 0), 0) AS w_neg, sum(ties::DOUBLE * ties - 1) AS tie FROM k GROUP BY 1)",
        body=f"SELECT event_type, n, {r('w_pos')} AS w_pos, {r('w_neg')} AS w_neg, {r('(least(w_pos, w_neg) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24.0 - tie / 48.0)')} AS z FROM s"))
 def wilcoxon(spark, d):
-    e = table(spark, d, "events").select("event_type", F.round(F.col("value") - 20.0, 1).alias("x"))
+    e = table(spark, d, "events").select("event_type", (F.col("value") - 20.0).alias("x"))
     return rounded(stats.wilcoxon_signed_rank(e, ["event_type"], "x", with_p=False))
 
 
