@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cohortia.functions.tails import norm_sf2
 from cohortia.operators.ordered import bucket_edges, running, with_bucket
-from cohortia.session import cut_lineage
+from cohortia.session import co_locate, cut_lineage
 
 
 def _tie_sums(b: Column, d: Column) -> tuple[Column, Column]:
@@ -76,7 +76,7 @@ def _std_errors(info: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: int = 25, tol: float = 1e-8,
+def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: int = 25, tol: float = 1e-6,
             min_n: int = 10, min_events: int = 5, efron: bool = True) -> DataFrame:
     """Cox partial-likelihood fits, one per ``by`` key, with the same covariate names in each.
 
@@ -99,70 +99,80 @@ def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: i
     placed = with_bucket(cells, "duration", bucket_edges(cells.where("event = 1"), "duration"))
     placed = placed.join(fit_keys.select(*by_), by_, "left_semi").select(
         *by_, "_b", "duration", "event", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)], "n")
-    placed = cut_lineage(placed)
-    spread = placed.select(*by_, "_b").distinct()
+    placed, table = co_locate(placed, [*by_, "_b"])
+    few = fit_keys.count() * p <= 100_000  # coefficients that provably fit a broadcast
+    spread = None if few else cut_lineage(placed.select(*by_, "_b").distinct())
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     zero = F.array(*[F.lit(0.0)] * p)
     beta = fit_keys.select(*by_, zero.alias("beta"), F.lit(1.0).alias("move"), F.lit(True).alias("alive"))
 
+    # every expression below names columns only, so it is built once and reused by all Newton steps
+    eta = sum((F.col("beta")[i] * F.col(f"x{i}") for i in range(p)), F.lit(0.0))
+    w, ev, d = F.col("w"), F.col("event").cast("double"), F.col("d")
+
+    def moments(weight: Column, tag: str) -> dict[str, Column]:
+        return ({f"{tag}0": weight} | {f"{tag}{i + 1}": weight * F.col(f"x{i}") for i in range(p)}
+                | {f"{tag}q{i}_{j}": weight * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs})
+
+    terms = moments(w, "s") | moments(w * ev, "e") | {"d": F.col("n") * ev}
+    terms |= {f"dx{i}": F.col("n") * ev * F.col(f"x{i}") for i in range(p)}
+    row_terms = [v.alias(k) for k, v in terms.items()]
+    cell_aggs = [F.sum(k).alias(k) for k in terms]
+    s_cols = ["s0", *[f"s{i + 1}" for i in range(p)], *[f"sq{i}_{j}" for i, j in pairs]]
+    bb = F.col("Rs0") / (F.col("e0") / d)
+    if efron:
+        def c(name: str) -> Column:
+            return F.col(name) / d
+
+        t1, t2 = _tie_sums(F.col("_bb"), d)
+        ties = [t1.alias("_h1"), t2.alias("_h2")]
+        h1, h2 = F.col("_h1"), F.col("_h2")
+        a = [c(f"e{i + 1}") / c("e0") for i in range(p)]
+        m = [(F.col(f"Rs{i + 1}") - c(f"e{i + 1}") * F.col("_bb")) / c("e0") for i in range(p)]
+        u = [F.sum(F.col(f"dx{i}") - (d * a[i] + m[i] * h1)) for i in range(p)]
+        inf = {(i, j): F.sum(d * c(f"eq{i}_{j}") / c("e0") + (F.col(f"Rsq{i}_{j}") - c(f"eq{i}_{j}") * F.col("_bb")) / c("e0") * h1
+                             - (d * a[i] * a[j] + (a[i] * m[j] + a[j] * m[i]) * h1 + m[i] * m[j] * h2)) for i, j in pairs}
+    else:
+        ties = []
+        mu = [F.col(f"Rs{i + 1}") / F.col("Rs0") for i in range(p)]
+        u = [F.sum(F.col(f"dx{i}") - d * mu[i]) for i in range(p)]
+        inf = {(i, j): F.sum(d * (F.col(f"Rsq{i}_{j}") / F.col("Rs0") - mu[i] * mu[j])) for i, j in pairs}
+    full = F.array(*[inf[min(i, j), max(i, j)] for i in range(p) for j in range(p)])
+    fit_aggs = [F.array(*u).alias("u"), full.alias("info")]
+
     def score(b: DataFrame) -> DataFrame:
-        """U and I at the current coefficients, per key."""
-        near = spread.join(b.select(*by_, "beta"), by_)  # coefficients at (key, bucket), co-located with the cells
-        e = placed.join(near, [*by_, "_b"])
-        eta = sum((F.col("beta")[i] * F.col(f"x{i}") for i in range(p)), F.lit(0.0))
-        e = e.withColumn("w", F.col("n") * F.exp(eta)).withColumn("ev", F.col("event").cast("double"))
-
-        def moments(weight: Column, tag: str) -> list[Column]:
-            return ([F.sum(weight).alias(f"{tag}0")]
-                    + [F.sum(weight * F.col(f"x{i}")).alias(f"{tag}{i + 1}") for i in range(p)]
-                    + [F.sum(weight * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{tag}q{i}_{j}") for i, j in pairs])
-
-        t = e.groupBy(*by_, "_b", "duration").agg(
-            *moments(F.col("w"), "s"), *moments(F.col("w") * F.col("ev"), "e"),
-            F.sum(F.col("n") * F.col("ev")).alias("d"),
-            *[F.sum(F.col("n") * F.col("ev") * F.col(f"x{i}")).alias(f"dx{i}") for i in range(p)])
-        s_cols = ["s0", *[f"s{i + 1}" for i in range(p)], *[f"sq{i}_{j}" for i, j in pairs]]
-        rs = running(t, by_, ["duration"], {f"R{c}": ("sum", c) for c in s_cols}, descending=True).where("d > 0")
-        d, c = F.col("d"), (lambda name: F.col(name) / F.col("d"))
+        """U and I at the current coefficients, per key. The bucketed rows are neither shuffled nor sorted by key."""
+        b = b.select(*by_, "beta")
+        rows = placed.join(F.broadcast(b), by_) if few else placed.join(spread.join(b, by_), [*by_, "_b"])
+        rows = rows.select("*", (F.col("n") * F.exp(eta)).alias("w")).select(*by_, "_b", "duration", *row_terms)
+        t = rows.groupBy(*by_, "_b", "duration").agg(*cell_aggs)
+        rs = running(t, by_, ["duration"], {f"R{c}": ("sum", c) for c in s_cols}, descending=True,
+                     totals_from=rows).where("d > 0")
         if efron:
-            bb = F.col("Rs0") / c("e0")
-            h1, h2 = _tie_sums(bb, d)
-            rs = rs.withColumn("_bb", bb).withColumn("_h1", h1).withColumn("_h2", h2)
-            bb, h1, h2 = F.col("_bb"), F.col("_h1"), F.col("_h2")
-            a = [c(f"e{i + 1}") / c("e0") for i in range(p)]
-            m = [(F.col(f"Rs{i + 1}") - c(f"e{i + 1}") * bb) / c("e0") for i in range(p)]
-            u = [F.sum(F.col(f"dx{i}") - (d * a[i] + m[i] * h1)) for i in range(p)]
-            inf = {(i, j): F.sum(d * c(f"eq{i}_{j}") / c("e0") + (F.col(f"Rsq{i}_{j}") - c(f"eq{i}_{j}") * bb) / c("e0") * h1
-                                 - (d * a[i] * a[j] + (a[i] * m[j] + a[j] * m[i]) * h1 + m[i] * m[j] * h2)) for i, j in pairs}
-        else:
-            mu = [F.col(f"Rs{i + 1}") / F.col("Rs0") for i in range(p)]
-            u = [F.sum(F.col(f"dx{i}") - d * mu[i]) for i in range(p)]
-            inf = {(i, j): F.sum(d * (F.col(f"Rsq{i}_{j}") / F.col("Rs0") - mu[i] * mu[j])) for i, j in pairs}
-        full = F.array(*[inf[min(i, j), max(i, j)] for i in range(p) for j in range(p)])
-        return rs.groupBy(*by_).agg(F.array(*u).alias("u"), full.alias("info"))
+            rs = rs.select("*", bb.alias("_bb")).select("*", *ties)
+        return rs.groupBy(*by_).agg(*fit_aggs)
 
     step = _solve("u", "info") if p > 1 else F.when(
         F.col("info")[0] > 1e-12, F.array(F.col("u")[0] / F.col("info")[0]))
     info_state = None
+    size = F.aggregate(F.transform("_s", F.abs), F.lit(0.0), lambda a, v: F.greatest(a, v))
+    shrink = F.least(F.lit(1.0), F.lit(1.0) / F.greatest(size, F.lit(1e-300)))  # at most one unit per step
+    good = F.col("_s").isNotNull() & ~F.isnan(size)
+    moved = F.transform(F.arrays_zip("beta", "_s"), lambda z: z["beta"] + z["_s"] * shrink)
+    state = [*by_, F.when(good, moved).otherwise(F.col("beta")).alias("beta"),
+             F.when(good, size).otherwise(F.lit(0.0)).alias("move"), (good & F.col("alive")).alias("alive"), "info"]
     for it in range(1, max_iter + 1):
-        sc = score(beta)
-        nxt = beta.join(sc, by_).withColumn("_s", step)
-        size = F.aggregate(F.transform("_s", F.abs), F.lit(0.0), F.greatest)
-        shrink = F.least(F.lit(1.0), F.lit(1.0) / F.greatest(size, F.lit(1e-300)))  # at most one unit per step
-        good = F.col("_s").isNotNull() & ~F.isnan(size)
-        moved = F.transform(F.arrays_zip("beta", "_s"), lambda z: z["beta"] + z["_s"] * shrink)
-        nxt = nxt.select(*by_, F.when(good, moved).otherwise(F.col("beta")).alias("beta"),
-                         F.when(good, size).otherwise(F.lit(0.0)).alias("move"),
-                         (good & F.col("alive")).alias("alive"), F.col("info"))
+        nxt = beta.join(score(beta), by_).select("*", step.alias("_s")).select(*state)
         info_state = cut_lineage(nxt)
         beta = info_state.select(*by_, "beta", "move", "alive")
-        if it >= 4:
+        if it >= 2:
             worst = info_state.agg(F.max("move")).first()[0]
             if worst is None or worst < tol:
                 break
+    data.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     fin = info_state.join(fit_keys, by_)
     ses = _std_errors("info") if p > 1 else F.array(1.0 / F.sqrt(F.col("info")[0]))
-    big = F.aggregate(F.transform("beta", F.abs), F.lit(0.0), F.greatest)
+    big = F.aggregate(F.transform("beta", F.abs), F.lit(0.0), lambda a, v: F.greatest(a, v))
     status = F.when(F.col("alive") & (F.col("move") < 1e-4) & (big < 20), "ok").otherwise("fit_failed")
     out = fin.select(*by_, "n", "events", F.col("beta").alias("coef"), ses.alias("se"), F.lit(it).alias("iterations"),
                      status.alias("status"))

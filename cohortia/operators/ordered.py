@@ -55,13 +55,15 @@ def running(
     totals: dict[str, str] | None = None,
     strict: bool = False,
     peers: dict[str, str] | None = None,
+    totals_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over ``order`` inside each ``by`` key.
 
     ``aggs`` maps output -> (sum|min|max, column). Rows with equal order values are peers and all get the value
     including every peer (SQL RANGE semantics); ``strict`` leaves the peers out (sums only). ``peers`` maps
     output -> column for sums over the peers alone.
-    ``totals`` maps output -> column for whole-key sums, taken from the bucket totals.
+    ``totals`` maps output -> column for whole-key sums, taken from the bucket totals. ``totals_from`` may name a
+    finer table with the same columns to take bucket totals from, when that saves recomputing ``cells``.
     """
     by = list(by)
     totals, peers = totals or {}, peers or {}
@@ -69,7 +71,7 @@ def running(
     sums = sorted({c for f, c in aggs.values() if f == "sum"} | set(totals.values()))
     pre = [F.sum(c).alias(f"_t_sum_{c}") for c in sums]
     pre += [_AGG[f](c).alias(f"_t_{f}_{c}") for f, c in sorted(set(aggs.values())) if f != "sum"]
-    tot = cells.groupBy(*by, bucket).agg(*pre)
+    tot = (cells if totals_from is None else totals_from).groupBy(*by, bucket).agg(*pre)
     border = F.col(bucket).desc() if descending else F.col(bucket).asc()
     before = W.partitionBy(*part).orderBy(border).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*part)

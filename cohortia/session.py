@@ -39,6 +39,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def co_locate(df: DataFrame, cols: list[str]) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table bucketed by ``cols`` in the shared checkpoint folder; returns it and its name.
+
+    For iterations: aggregations, windows and joins on ``cols`` (or more) then run without moving the rows again.
+    The caller drops the name when done.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    name = f"co_located_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tables/{name}"
+    df.repartition(n, *cols).write.bucketBy(n, *cols).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True when ``df`` holds at most ``rows`` rows; reads no more than ``rows`` + 1 of them."""
     return df.limit(rows + 1).count() <= rows
