@@ -50,33 +50,24 @@ def replace_tokens(df: DataFrame, key: str, text: str, mapping: DataFrame, patte
     return df.join(done, key, "left").withColumn(text, F.coalesce("_t", text)).drop("_t")
 
 
-def _word_grams(words: Column, n: int) -> Column:
-    def gram(i: Column) -> Column:
-        return F.array_join(F.slice(words, i, n), " ")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), gram)).otherwise(F.array().cast("array<string>"))
-
-
 def contained_in(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str) -> DataFrame:
     """(item, doc) pairs where the item text occurs inside the document text, exactly.
 
     The inner words of a contained text are whole words of the document, so each item is filed under its longest inner
-    word 3-gram (or shorter, for short items) and meets only documents that have this gram: an equi-join instead of an
-    item x document product. Candidates are then verified on the whole texts. Items without an inner word are few-word
-    names; they are matched by a plain containment join.
+    word and meets only documents that have this word: an equi-join instead of an item x document product. Candidates
+    are then verified on the whole texts. Items without an inner word are names of one or two words; they are matched
+    by a plain containment join.
     """
     it = items.select(F.col(item_key), F.col("text").alias("_item")).where("_item <> ''").withColumn("_w", F.split("_item", r"\s+"))
-    it = it.withColumn("_in", F.when(F.size("_w") > 2, F.slice(F.col("_w"), 2, F.greatest(F.size("_w") - 2, F.lit(1)))))
-    sized = it.where("_in IS NOT NULL").withColumn("_n", F.least(F.size("_in"), F.lit(3)))
-    grams = F.when(F.col("_n") == 3, _word_grams(F.col("_in"), 3)).when(F.col("_n") == 2, _word_grams(F.col("_in"), 2)).otherwise(F.col("_in"))
-    longest = F.element_at(F.array_sort(F.transform(grams, lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g")))), 1)["g"]
-    heads = sized.select(item_key, "_item", longest.alias("_g"))
-    d = docs.select(doc_key, F.col("text").alias("_doc")).withColumn("_w", F.split("_doc", r"\s+"))
-    cuts = d.select(doc_key, F.explode(F.concat(*[_word_grams(F.col("_w"), n) for n in (3, 2, 1)])).alias("_g"))
-    keys = broadcast_if_small(heads.select(item_key, "_g"))
-    cand = cuts.join(keys, "_g").select(item_key, doc_key).distinct()
-    long = cand.join(heads.select(item_key, "_item"), item_key).join(d.select(doc_key, "_doc"), doc_key).where(
+    inner = F.slice(F.col("_w"), 2, F.greatest(F.size("_w") - 2, F.lit(1)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g")))), 1)["g"]
+    heads = it.where(F.size("_w") > 2).select(item_key, "_item", longest.alias("_g"))
+    d = docs.select(doc_key, F.col("text").alias("_doc"))
+    words = d.select(doc_key, F.explode(F.split("_doc", r"\s+")).alias("_g"))
+    cand = words.join(broadcast_if_small(heads.select(item_key, "_g")), "_g").select(item_key, doc_key).distinct()
+    long = cand.join(heads.select(item_key, "_item"), item_key).join(d, doc_key).where(
         F.col("_doc").contains(F.col("_item"))).select(item_key, doc_key)
-    short = it.where("_in IS NULL").select(item_key, "_item")
+    short = it.where(F.size("_w") <= 2).select(item_key, "_item")
     names = d.join(broadcast_if_small(short), F.col("_doc").contains(F.col("_item"))).select(item_key, doc_key)
     return long.union(names)
 
