@@ -27,3 +27,65 @@ def metric_battery(wide: DataFrame, pairs: Sequence[tuple[str, str, str, int]])
     rho = stats.spearman(stacked, ["metric_pair"], "x", "y")
     return rho.withColumn("expected", F.element_at(sign, F.col("metric_pair"))).withColumn(
         "as_expected", F.signum("rho") == F.col("expected"))
+
+
+# fixed values: component weights of the two rubrics
+WEIGHTS = {"structure_validity": 2.0, "clinical_signal": 3.0, "genomic_coherence_drivers": 2.0, "reference_concordance": 2.0,
+           "marker_evidence": 2.0, "pathway_validity": 1.0, "mechanism_grounding": 2.0}
+GATED = ["mechanism_grounding", "pathway_validity"]
+DISCOVERY_WEIGHTS = {"structure_validity": 2.0, "survival_stratification": 3.0, "provenance_integrity": 3.0, "pathway_validity": 1.0,
+                     "mechanistic_grounding": 3.0, "cross_modal_support": 2.0, "validation_experiment": 2.0}
+EXAMINATION_WEIGHTS = {"exam_data_lock_quality": 1.0, "exam_mechanistic_integration": 2.0}
+VALIDATION_WEIGHTS = {"target_coexpr_replication": 2.0, "target_survival_replication": 3.0}
+# fixed values: points per support level, weight per decision, and the support level each kind of recall implies
+SUPPORT_POINTS = {"grounded": 1.0, "unsupported": 0.25, "anchored": 0.0}
+DECISION_WEIGHTS = {"d1_partition": 2.0, "d2_identity": 2.0, "d3_mechanism": 1.0}
+RECALL_SUPPORT = {"grounded_recall": "grounded", "derived": "grounded", "wrong_disease": "anchored",
+                  "bare_assertion": "unsupported", "no_identification": "unsupported"}
+
+
+def _lookup(values: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
+def weighted_total(components: DataFrame, gate: DataFrame | None = None, weights: dict[str, float] = WEIGHTS,
+                   gated: Sequence[str] = tuple(GATED)) -> DataFrame:
+    """Weighted sum per episode over the maximum; an episode that committed to the wrong identity loses the narrative parts.
+
+    components(episode, component, raw), gate(episode, fooled).
+    """
+    g = gate.select("episode", "fooled") if gate is not None else components.select("episode").distinct().withColumn("fooled", F.lit(False))
+    x = components.join(g, "episode", "left").withColumn("fooled", F.coalesce("fooled", F.lit(False)))
+    keep = F.when(F.col("fooled") & F.col("component").isin(list(gated)), 0.0).otherwise(1.0)
+    total = F.sum(F.col("raw") * F.coalesce(_lookup(weights, F.col("component")), F.lit(0.0)) * keep)
+    return x.groupBy("episode").agg(total.alias("total"), (total / sum(weights.values())).alias("normalised"), F.bool_or("fooled").alias("gated"))
+
+
+def phase_composite(components: DataFrame) -> DataFrame:
+    """Three phases: total, internal norm (phases 1 + 2), external norm (phase 3), geometric-mean composite.
+
+    A phase without any component does not enter the maximum.
+    """
+    def phase(w):
+        c = _lookup(w, F.col("component"))
+        return F.coalesce(F.sum(F.col("raw") * c), F.lit(0.0)), F.count(c) > 0, float(sum(w.values()))
+    p1, _, m1 = phase(DISCOVERY_WEIGHTS)
+    p2, h2, m2 = phase(EXAMINATION_WEIGHTS)
+    p3, h3, m3 = phase(VALIDATION_WEIGHTS)
+    a = components.groupBy("episode").agg((p1 + p2 + p3).alias("total"), ((p1 + p2) / (m1 + F.when(h2, m2).otherwise(0.0))).alias("internal_norm"),
+                                          F.when(h3, p3 / m3).otherwise(0.0).alias("external_norm"))
+    i, e = F.col("internal_norm"), F.col("external_norm")
+    return a.withColumn("composite", F.when((i > 0) & (e > 0), F.sqrt(i * e)).otherwise(0.0))
+
+
+def support_score(levels: DataFrame) -> DataFrame:
+    """Support score and consistency flags per episode. levels(episode, decision, support, contradiction[, recall_type])."""
+    s, c, dn = F.col("support"), F.col("contradiction"), F.col("decision")
+    flag = F.when((s == "grounded") & (c == "ignored"), F.concat(dn, F.lit(": grounded+ignored"))).when(
+        (s == "anchored") & (c == "none"), F.concat(dn, F.lit(": anchored+none")))
+    recall = F.lit(None).cast("string")
+    if "recall_type" in levels.columns:
+        want = _lookup(RECALL_SUPPORT, F.col("recall_type"))
+        recall = F.when((dn == "d2_identity") & (want != s), F.concat(F.lit("d2_identity: recall_type="), F.col("recall_type"), F.lit(" expects "), want))
+    pts = F.coalesce(_lookup(SUPPORT_POINTS, s), F.lit(0.0)) * F.coalesce(_lookup(DECISION_WEIGHTS, dn), F.lit(0.0))
+    return levels.groupBy("episode").agg(F.sum(pts).alias("score"), F.array_sort(F.concat(F.collect_list(flag), F.collect_list(recall))).alias("flags"))

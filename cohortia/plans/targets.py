@@ -12,7 +12,7 @@ from cohortia.operators.reshape import best_row
 from cohortia.operators.stats import cohens_d
 
 # fixed values: clinical stage names and their number
-STAGE_NUMBER = {"APPROVAL": 4, "PHASE_4": 4, "PHASE_3": 3, "PHASE_2_3": 2, "PHASE_2": 2, "PHASE_1_2": 1, "PHASE_1": 1, "EARLY_PHASE_1": 0}
+STAGE_NUMBER = {"PHASE_1": 1, "PHASE_1_2": 1, "PHASE_2": 2, "PHASE_2_3": 2, "PHASE_3": 3, "APPROVAL": 4}
 # fixed values: tractability labels that count as approved, and as clinical
 APPROVED_LABEL = "Approved Drug"
 CLINICAL_LABELS = ["Approved Drug", "Advanced Clinical", "Phase 1 Clinical"]
