@@ -17,6 +17,7 @@ def np_lgamma(x) -> np.ndarray:
     z = x + 8.0
     z2 = z * z
     series = 1 / (12 * z) - 1 / (360 * z * z2) + 1 / (1260 * z * z2 * z2) - 1 / (1680 * z * z2 ** 3)
+    series += 1 / (1188 * z * z2 ** 4) - 691 / (360360 * z * z2 ** 5)
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 

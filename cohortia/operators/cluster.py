@@ -87,9 +87,14 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 3, max_iter
 
 # ---- agreement of two labelings -----------------------------------------------------------------------------------
 
+def _table(df: DataFrame, a: str, b: str, by: Sequence[str]) -> tuple[DataFrame, str, str]:
+    both = df.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    return cut_lineage(contingency(both, "_a", "_b", by)), "_a", "_b"
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """ARI from the contingency table; the table is what is shuffled, never pairs of samples."""
-    c = cut_lineage(contingency(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b, by))
+    c, a, b = _table(df, a, b, by)
 
     def pairs(keys):
         s = c.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
@@ -107,7 +112,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
 
 def normalised_mutual_info(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """NMI with the arithmetic mean of entropies, from the contingency table."""
-    c = cut_lineage(contingency(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b, by))
+    c, a, b = _table(df, a, b, by)
 
     def ent(keys, out):
         s = c.groupBy(*by, *keys).agg(F.sum("n").alias("n"))

@@ -54,14 +54,8 @@ def sample_files(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = j.select((F.col("o_custkey") % 20).alias("case"), F.col("p_name").alias("gene_name"), F.when(F.col("p_size") % 2 == 0, "protein_coding").otherwise("lncRNA").alias("gene_type"), F.col("l_quantity").alias("tpm"))
     rows.repartition("case").write.partitionBy("case").option("header", True).option("sep", "\t").csv(p)
-    files = spark.read.text(f"{p}/*/*.csv").select(F.col("_metadata.file_path").alias("fp")).distinct()
-    manifest = files.select(F.element_at(F.split("fp", "/"), -1).alias("file_name"), F.concat(F.lit("case-"), F.regexp_extract("fp", r"case=(\d+)", 1)).alias("sample_id"))
-    # file names repeat across case folders only if a task wrote them, so the folder is what the manifest maps
-    df = spark.read.option("header", True).option("sep", "\t").option("recursiveFileLookup", True).csv(p)
-    by_file = df.withColumn("file_name", F.regexp_extract(F.col("_metadata.file_path"), r"case=(\d+)", 1)).where("gene_type = 'protein_coding'")
-    man = manifest.select(F.regexp_extract("sample_id", r"(\d+)$", 1).alias("file_name"), "sample_id").distinct()
-    out = by_file.join(man, "file_name").groupBy("sample_id", F.col("gene_name").alias("feature")).agg(F.sum(F.expr("try_cast(tpm AS DOUBLE)")).alias("value"))
-    return rounded(rs.log_transform(out, "e"))
+    manifest = table(spark, d, "customer").select((F.col("c_custkey") % 20).cast("string").alias("file_name")).distinct().withColumn("sample_id", F.concat(F.lit("case-"), F.col("file_name")))
+    return rounded(rd.read_sample_files(spark, p, manifest, "tpm", file_key=r"case=(\d+)/"))
 
 
 @query("read_clinical", "SELECT c_custkey::VARCHAR AS sample_id, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS stage, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer")

@@ -80,11 +80,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sample_files(spark: SparkSession, path: str, manifest: DataFrame, value_column: str, gene_column: str = "gene_name",
-                      type_column: str = "gene_type", gene_type: str | None = "protein_coding", log1p: bool = True) -> DataFrame:
-    """Many per-sample TSVs -> long expression. One scan; the file name is the join key to the manifest; duplicate symbols
-    within a sample are summed before the log."""
-    df = spark.read.option("header", True).option("sep", "\t").option("comment", "#").csv(path)
-    df = df.withColumn("file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+                      type_column: str = "gene_type", gene_type: str | None = "protein_coding", log1p: bool = True,
+                      file_key: str = r"([^/]+)$") -> DataFrame:
+    """Many per-sample TSVs -> long expression. One scan; the part of the path that ``file_key`` captures (the file name by
+    default) is the join key to the manifest's file_name; duplicate symbols within a sample are summed before the log."""
+    df = spark.read.option("header", True).option("sep", "\t").option("comment", "#").option("recursiveFileLookup", True).csv(path)
+    df = df.withColumn("file_name", F.regexp_extract(F.col("_metadata.file_path"), file_key, 1))
     if gene_type is not None:
         df = df.where(F.col(type_column) == gene_type)
     df = df.where(F.col(gene_column).isNotNull()).select("file_name", F.col(gene_column).alias("feature"), F.expr(f"try_cast({value_column} AS DOUBLE)").alias("value"))

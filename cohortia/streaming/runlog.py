@@ -15,10 +15,10 @@ def rollup_stream(log: DataFrame, window: str = "1 hour", lateness: str = "2 hou
 
     Rows later than the watermark are dropped by Spark; a window is emitted once the watermark has passed it.
     """
-    return (log.withWatermark("ts", lateness).groupBy(F.window("ts", window), "arm")
+    return (log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", window), "arm")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
                  F.sum("exec_time_s").alias("exec_s"), F.count_if("is_error").alias("n_errors"))
-            .select(F.col("window.start").alias("start"), "arm", "n", "input_tokens", "output_tokens", "exec_s", "n_errors"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "arm", "n", "input_tokens", "output_tokens", "exec_s", "n_errors"))
 
 
 def gate_stream(log: DataFrame, is_event: str, n: int, lateness: str = "2 hours") -> DataFrame:
@@ -27,7 +27,7 @@ def gate_stream(log: DataFrame, is_event: str, n: int, lateness: str = "2 hours"
     log(key string, ts, seq long, payload string, ...); ``is_event`` is a SQL condition. A key's rows are counted in
     arrival order of micro-batches, and in sequence order inside one.
     """
-    x = log.withWatermark("ts", lateness).select("key", "ts", "seq", "payload", F.expr(is_event).cast("int").alias("hit"))
+    x = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select("key", "ts", "seq", "payload", F.expr(is_event).cast("int").alias("hit"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
