@@ -75,11 +75,11 @@ def pca_scores(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 3, max_iter: int = 50) -> DataFrame:
-    """(sample_id, cluster) of the best of ``n_init`` runs by training cost."""
+    """(sample_id, cluster) of the best of ``n_init`` runs by training cost; starts alternate between both seedings."""
     v = cut_lineage(vectors.select("sample_id", "vec")).select("sample_id", array_to_vector("vec").alias("features"))
     best = None
     for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initSteps=5).fit(v)
+        m = KMeans(k=k, seed=seed + 1000 * i, maxIter=max_iter, tol=1e-9, initMode="random" if i % 2 else "k-means||", initSteps=5).fit(v)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
     return best.transform(v).select("sample_id", F.col("prediction").alias("cluster"))
