@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortia.operators.ordered import draw_order, quantiles, running
+from cohortia.operators.ordered import draw_order, quantiles, running_by
+from cohortia.session import cut_lineage, distinct_values
 
 
 def quantile_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -145,7 +146,6 @@ def label_by_either_id(samples: DataFrame, id_map: DataFrame, truth: DataFrame)
 
 def complete_grid(values: DataFrame, features: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """Samples x features with a fill value, on request only. Built by exploding the (size-checked) feature list."""
-    from cohortia.session import distinct_values
     names = F.array(*[F.lit(f) for f in distinct_values(features, "feature", 20000)])
     grid = values.select("sample_id").distinct().select("sample_id", F.explode(names).alias("feature"))
     out = grid.join(values, ["sample_id", "feature"], "left")
@@ -185,13 +185,11 @@ def leaked_ids(df: DataFrame, col: str, prefix: str) -> DataFrame:
 
 # ---- windows over event logs -------------------------------------------------------------------------------------
 
-def nth_event_gate(log: DataFrame, key: str, order: str, is_event: Column, n: int, edges: Sequence[float]) -> DataFrame:
-    """Rows of each key at or after its n-th qualifying event (running count over time buckets)."""
-    from cohortia.operators.ordered import with_bucket
-    from cohortia.session import cut_lineage
+def nth_event_gate(log: DataFrame, key: str, order: str, is_event: Column, n: int) -> DataFrame:
+    """Rows of each key at or after its n-th qualifying event."""
     x = cut_lineage(log.withColumn("_e", is_event.cast("long")))
-    g = running(with_bucket(x, order, edges), [key], [order], {"_seen": ("sum", "_e")})
-    return g.where(F.col("_seen") >= n).drop("_e", "_b", "_seen")
+    g = running_by(x, [key], [order], {"_seen": ("sum", "_e")})
+    return g.where(F.col("_seen") >= n).drop("_e", "_seen")
 
 
 def pick_n(df: DataFrame, by: Sequence[str], seed: int, keys: Sequence[str], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.operators.aggregates import universe
-from cohortia.operators.ordered import draw_key, draw_order, quantile_bins, running
+from cohortia.operators.ordered import SMALL_ROWS, draw_key, draw_order, quantile_bins, running
 from cohortia.operators.reshape import remap_categories, rename_by_map
 from cohortia.session import cut_lineage, distinct_values
 
@@ -120,7 +120,7 @@ def decoy_codebook(samples: DataFrame, prefix: str = "SAMPLE_", width: int = 4)
     # range-partitioned by id and stored with the partition number: any id type, balanced, fixed once written
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     x = cut_lineage(x.repartitionByRange(n, "sample_id").withColumn("_b", F.spark_partition_id()))
-    r = running(x, [], ["sample_id"], {"_rn": ("sum", "_one")})
+    r = running(x, [], ["sample_id"], {"_rn": ("sum", "_one")}, bucket=None if x.count() <= SMALL_ROWS else "_b")
     return r.select("sample_id", padded(F.col("_rn") - 1, prefix, width).alias("decoy"))
 
 

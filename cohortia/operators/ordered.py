@@ -22,6 +22,10 @@ from pyspark.sql.window import Window as W
 
 from cohortia.session import cut_lineage
 
+# A stored table with at most this many rows is ordered by plain windows: its size has been counted, so one task can
+# hold all of it. Everything larger goes through the buckets.
+SMALL_ROWS = 250_000
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -50,7 +54,7 @@ def running(
     by: Sequence[str],
     order: Sequence[str],
     aggs: dict[str, tuple[str, str]],
-    bucket: str = "_b",
+    bucket: str | None = "_b",
     descending: bool = False,
     totals: dict[str, str] | None = None,
     strict: bool = False,
@@ -64,10 +68,19 @@ def running(
     output -> column for sums over the peers alone.
     ``totals`` maps output -> column for whole-key sums, taken from the bucket totals. ``totals_from`` may name a
     finer table with the same columns to take bucket totals from, when that saves recomputing ``cells``.
+    ``bucket`` None means plain windows, for tables whose size the caller has counted.
     """
     by = list(by)
     totals, peers = totals or {}, peers or {}
     part = [F.col(c) for c in by] or [F.lit(0)]
+    if bucket is None:
+        oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+        upto = W.partitionBy(*part).orderBy(*oc).rangeBetween(W.unboundedPreceding, W.currentRow)
+        tied, whole = W.partitionBy(*part, *order), W.partitionBy(*part)
+        own = {o: _AGG[f](c).over(upto) - (F.sum(c).over(tied) if strict else F.lit(0)) if f == "sum" else _AGG[f](c).over(upto)
+               for o, (f, c) in aggs.items()}
+        return cells.select("*", *[v.alias(o) for o, v in own.items()], *[F.sum(c).over(whole).alias(o) for o, c in totals.items()],
+                            *[F.sum(c).over(tied).alias(o) for o, c in peers.items()])
     sums = sorted({c for f, c in aggs.values() if f == "sum"} | set(totals.values()))
     pre = [F.sum(c).alias(f"_t_sum_{c}") for c in sums]
     pre += [_AGG[f](c).alias(f"_t_{f}_{c}") for f, c in sorted(set(aggs.values())) if f != "sum"]
@@ -105,14 +118,20 @@ def running(
     )
 
 
+def running_by(cells: DataFrame, by: Sequence[str], order: Sequence[str], aggs: dict[str, tuple[str, str]], **kw) -> DataFrame:
+    """``running`` over a stored table: plain windows when its counted size is small, buckets of ``order[0]`` otherwise."""
+    if cells.count() <= SMALL_ROWS:  # footers only: the table is stored
+        return running(cells, by, order, aggs, bucket=None, **kw)
+    return running(with_bucket(cells, order[0], bucket_edges(cells, order[0])), by, order, aggs, **kw).drop("_b")
+
+
 def ranked_cells(cells: DataFrame, by: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """Average-tie rank for weighted cells (several cells may share a value): adds ``rank``, ``ties``, ``n_total``.
 
     ``cells`` must be cheap to read twice (a stored table).
     """
-    out = running(with_bucket(cells, value, bucket_edges(cells, value)), by, [value], {"_cum": ("sum", n)},
-                  totals={"n_total": n}, peers={"ties": n})
-    return out.withColumn("rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum", "_b")
+    out = running_by(cells, by, [value], {"_cum": ("sum", n)}, totals={"n_total": n}, peers={"ties": n})
+    return out.withColumn("rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum")
 
 
 def rank_table(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -133,8 +152,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     """Exact linearly interpolated quantiles per key (``probs`` maps output name -> probability), plus ``n``."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
     cells = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n")))
-    run = running(with_bucket(cells, value, bucket_edges(cells, value)), by, [value], {"_cum": ("sum", "_n")},
-                  totals={"_tot": "_n"})
+    run = running_by(cells, by, [value], {"_cum": ("sum", "_n")}, totals={"_tot": "_n"})
 
     def at(pos: Column) -> Column:
         hit = (F.col("_cum") > pos) & (F.col("_cum") - F.col("_n") <= pos)
@@ -163,14 +181,23 @@ def draw_order(df: DataFrame, by: Sequence[str], seed: int, keys: Sequence[str],
     """
     d = df.withColumn("_k", draw_key(seed, *by, *keys)).withColumn("_one", F.lit(1))
     d = cut_lineage(d.withColumn("_b", F.substring("_k", 1, 2)))
-    return running(d, by, ["_k", *keys], {out: ("sum", "_one")}).drop("_k", "_one", "_b")
+    b = None if d.count() <= SMALL_ROWS else "_b"
+    return running(d, by, ["_k", *keys], {out: ("sum", "_one")}, bucket=b).drop("_k", "_one", "_b")
 
 
 def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg within each family; null or out-of-range p stay in the output with null FDR and do
     not count towards the family size."""
     df = cut_lineage(df)  # one row per test: write it once instead of running the screen for every branch below
-    ok = df.where(F.col(p).between(0.0, 1.0) & ~F.isnan(p))
+    good = F.coalesce(F.col(p).between(0.0, 1.0) & ~F.isnan(p), F.lit(False))
+    ok = df.where(good)
+    if df.count() <= SMALL_ROWS:
+        part = [F.col(c) for c in family] or [F.lit(0)]
+        up = W.partitionBy(*part).orderBy(F.col(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
+        down = W.partitionBy(*part).orderBy(F.col(p).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+        q = F.col(p) * F.count(F.lit(1)).over(W.partitionBy(*part)) / F.count(F.lit(1)).over(up)
+        adj = ok.withColumn("_q", q).withColumn(out, F.least(F.min("_q").over(down), F.lit(1.0))).drop("_q")
+        return adj.union(df.where(~good).withColumn(out, F.lit(None).cast("double")))
     cells = cut_lineage(ok.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")))
     up = running(with_bucket(cells, p, bucket_edges(cells, p)), family, [p], {"_r": ("sum", "_n")}, totals={"_m": "_n"})
     raw = cut_lineage(up.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r")))

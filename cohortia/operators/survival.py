@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cohortia.functions.tails import chi2_sf
 from cohortia.operators.cox import cox_fit, cox_univariate
-from cohortia.operators.ordered import bucket_edges, draw_order, quantiles, running, with_bucket
+from cohortia.operators.ordered import draw_order, quantiles, running_by
 from cohortia.operators.stats import spearman
 from cohortia.session import cut_lineage, distinct_values
 
@@ -33,14 +33,13 @@ def survival_table(meta: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _time_cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, duration, n, d) cells with their time bucket, stored once."""
-    cells = cut_lineage(df.groupBy(*by, "duration").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("d")))
-    return with_bucket(cells, "duration", bucket_edges(cells, "duration"))
+    """(by, duration, n, d) cells, stored once."""
+    return cut_lineage(df.groupBy(*by, "duration").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("d")))
 
 
 def at_risk(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per key and distinct time: events d and number at risk."""
-    return running(_time_cells(df, by), by, ["duration"], {"at_risk": ("sum", "n")}, descending=True)
+    return running_by(_time_cells(df, by), by, ["duration"], {"at_risk": ("sum", "n")}, descending=True)
 
 
 def kaplan_meier(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -48,7 +47,7 @@ def kaplan_meier(df: DataFrame, by: Sequence[str]) -> DataFrame:
     r = at_risk(df, by)
     term = F.when(F.col("d") == F.col("at_risk"), F.lit(float("-inf"))).otherwise(
         F.log1p(-F.col("d") / F.col("at_risk").cast("double")))
-    s = running(cut_lineage(r.withColumn("_l", term)), by, ["duration"], {"_cum": ("sum", "_l")})
+    s = running_by(cut_lineage(r.withColumn("_l", term)), by, ["duration"], {"_cum": ("sum", "_l")})
     return s.select(*by, "duration", "at_risk", "d", F.exp("_cum").alias("survival"))
 
 
@@ -62,20 +61,19 @@ def _quad_form(z: pd.Series, v: pd.Series) -> pd.Series:
 
 
 def _label_cells(df: DataFrame, by: Sequence[str], labels: list) -> DataFrame:
-    """Per (by, duration): n_i and d_i for each of the k labels side by side. Stored once, bucketed by time."""
+    """Per (by, duration): n_i and d_i for each of the k labels side by side, stored once."""
     cols = []
     for i, g in enumerate(labels):
         hit = F.col("label") == F.lit(g)
         cols += [F.count(F.when(hit, 1)).alias(f"n{i}"), F.coalesce(F.sum(F.when(hit, F.col("event"))), F.lit(0)).alias(f"d{i}")]
-    cells = cut_lineage(df.where("label IS NOT NULL").groupBy(*by, "duration").agg(*cols))
-    return with_bucket(cells, "duration", bucket_edges(cells, "duration"))
+    return cut_lineage(df.where("label IS NOT NULL").groupBy(*by, "duration").agg(*cols))
 
 
 def logrank(df: DataFrame, by: Sequence[str] = (), labels: list | None = None, with_p: bool = True) -> DataFrame:
     """k-sample log-rank per key: chi2, df (and p). ``df``: by..., duration, event, label."""
     labels = labels or distinct_values(df, "label", MAX_GROUPS)
     k = len(labels)
-    r = running(_label_cells(df, by, labels), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
+    r = running_by(_label_cells(df, by, labels), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
                 descending=True)
     n = sum((F.col(f"r{i}") for i in range(k)), F.lit(0)).cast("double")
     d = sum((F.col(f"d{i}") for i in range(k)), F.lit(0)).cast("double")
@@ -107,7 +105,7 @@ def concordance(df: DataFrame, by: Sequence[str] = (), labels: list | None = Non
     med = group_medians(df, by)
     sc = med.groupBy(*by).agg(*[F.max(F.when(F.col("label") == F.lit(g), F.col("median"))).alias(f"m{i}")
                                 for i, g in enumerate(labels)])
-    r = running(_label_cells(df, by, labels), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
+    r = running_by(_label_cells(df, by, labels), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
                 descending=True).where(" + ".join(f"d{i}" for i in range(k)) + " > 0")
     j = r.join(sc, list(by)) if by else r.join(F.broadcast(sc), on=F.lit(True))
     after = F.array(*[(F.col(f"r{i}") - F.col(f"d{i}")).cast("double") for i in range(k)])

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.operators.ordered import bucket_edges, running, with_bucket
+from cohortia.operators.ordered import running_by
 from cohortia.session import cut_lineage
 
 # fixed values: behaviour families searched in code, and in reasoning
@@ -48,9 +48,8 @@ REPORT_SECTIONS = {
 def number_rows(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
     """0-based position within each key. ``order[0]`` must be numeric; its buckets split long keys."""
     x = cut_lineage(df.withColumn("_one", F.lit(1)))
-    x = with_bucket(x, order[0], bucket_edges(x, order[0]))
-    r = running(x, [key], list(order), {out: ("sum", "_one")})
-    return r.withColumn(out, F.col(out) - 1).drop("_one", "_b")
+    r = running_by(x, [key], list(order), {out: ("sum", "_one")})
+    return r.withColumn(out, F.col(out) - 1).drop("_one")
 
 
 def previous(df: DataFrame, key: str, position: str, cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
@@ -140,8 +139,7 @@ def stage_moves(calls: DataFrame) -> DataFrame:
 def carried_stage(calls: DataFrame) -> DataFrame:
     """Every call with the last stated stage carried forward (running max of (position, stage))."""
     x = cut_lineage(calls.select("episode", "call_num", F.when(F.col("stage_num").isNotNull(), F.struct("call_num", "stage_num")).alias("_s")))
-    x = with_bucket(x, "call_num", bucket_edges(x, "call_num"))
-    r = running(x, ["episode"], ["call_num"], {"_last": ("max", "_s")})
+    r = running_by(x, ["episode"], ["call_num"], {"_last": ("max", "_s")})
     return r.select("episode", "call_num", F.col("_last.stage_num").alias("stage_num"))
 
 

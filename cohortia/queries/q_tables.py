@@ -340,7 +340,7 @@ def risk(spark, d):
 @query("nth_event_gate", "SELECT event_id, user_id FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM events) WHERE seen >= 3")
 def gate(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return ag.nth_event_gate(e, "user_id", "event_id", F.col("event_type") == "purchase", 3, ordered.bucket_edges(e, "event_id")).select("event_id", "user_id")
+    return ag.nth_event_gate(e, "user_id", "event_id", F.col("event_type") == "purchase", 3).select("event_id", "user_id")
 
 
 @query("first_event_index", "SELECT user_id, min(event_id) FILTER (event_type = 'error') AS first_error, min(event_id) FILTER (event_type = 'purchase') AS first_purchase FROM events GROUP BY 1")

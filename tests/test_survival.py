@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cohortia.operators import cox
+from cohortia.operators import cox, ordered
 from cohortia.operators import survival as sv
 
 
@@ -33,6 +33,12 @@ def brute_cox(t, e, x, iters=60):
     return b, np.sqrt(np.diag(np.linalg.inv(inf)))
 
 
+@pytest.fixture(params=[0, 250_000])
+def route(request, monkeypatch):
+    """Over the buckets, and over plain windows."""
+    monkeypatch.setattr(ordered, "SMALL_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def cohort():
     rng = np.random.default_rng(3)
@@ -43,14 +49,14 @@ def cohort():
     return pd.DataFrame({"sample_id": range(n), "duration": t, "event": e, "x": x, "z": z, "label": rng.choice(["a", "b", "c"], n)})
 
 
-def test_cox_one_covariate_with_heavy_ties(spark, cohort):
+def test_cox_one_covariate_with_heavy_ties(spark, route, cohort):
     assert cohort[cohort["event"] == 1].groupby("duration").size().max() > 16
     b, se = brute_cox(cohort["duration"].to_numpy(), cohort["event"].to_numpy(), cohort[["x"]].to_numpy())
     r = cox.cox_fit(spark.createDataFrame(cohort), [], ["x"]).first()
     assert r["status"] == "ok" and r["coef"][0] == pytest.approx(b[0], abs=1e-6) and r["se"][0] == pytest.approx(se[0], abs=1e-5)
 
 
-def test_cox_two_covariates_batched(spark, cohort):
+def test_cox_two_covariates_batched(spark, route, cohort):
     both = pd.concat([cohort.assign(k="one"), cohort[cohort["label"] != "c"].assign(k="two"), cohort.head(5).assign(k="tiny")])
     r = {x["k"]: x for x in cox.cox_fit(spark.createDataFrame(both), ["k"], ["x", "z"]).collect()}
     assert "tiny" not in r  # below the size guard
@@ -75,13 +81,13 @@ def test_group_cox_reference_is_worst_median(spark, cohort):
     assert np.allclose(r.loc[others, "log_hr"], b, atol=1e-6)
 
 
-def test_kaplan_meier_by_hand(spark):
+def test_kaplan_meier_by_hand(spark, route):
     d = spark.createDataFrame([("g", 1.0, 1), ("g", 2.0, 0), ("g", 2.0, 1), ("g", 3.0, 1), ("h", 5.0, 0)], "label string, duration double, event int")
     r = {(x["label"], x["duration"]): x["survival"] for x in sv.kaplan_meier(d, ["label"]).collect()}
     assert r[("g", 1.0)] == pytest.approx(0.75) and r[("g", 2.0)] == pytest.approx(0.5) and r[("g", 3.0)] == 0 and r[("h", 5.0)] == 1
 
 
-def test_logrank_identical_groups_is_zero_and_matches_pinv(spark, cohort):
+def test_logrank_identical_groups_is_zero_and_matches_pinv(spark, route, cohort):
     same = pd.concat([cohort.assign(label="p"), cohort.assign(label="q")])
     assert sv.logrank(spark.createDataFrame(same)).first()["chi2"] == pytest.approx(0, abs=1e-9)
     t, e, g = (cohort[c].to_numpy() for c in ("duration", "event", "label"))
@@ -97,7 +103,7 @@ def test_logrank_identical_groups_is_zero_and_matches_pinv(spark, cohort):
     assert r["df"] == 2 and r["chi2"] == pytest.approx(z[:2] @ np.linalg.inv(v[:2, :2]) @ z[:2], rel=1e-9)
 
 
-def test_concordance_matches_pair_enumeration(spark, cohort):
+def test_concordance_matches_pair_enumeration(spark, route, cohort):
     c = cohort.head(80)
     m = c["label"].map(c.groupby("label")["duration"].median()).to_numpy()
     t, e = c["duration"].to_numpy(), c["event"].to_numpy()
