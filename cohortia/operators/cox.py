@@ -98,7 +98,7 @@ def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: i
         usable = usable & (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
     fit_keys = cut_lineage(sizes.where(usable).select(*by_, "n", "events"))
     small = cells.count() <= ordered.SMALL_ROWS
-    placed = cells.withColumn("_b", F.lit(0.0)) if small else with_bucket(
+    placed = cells.withColumn("_b", F.lit(0)) if small else with_bucket(
         cells, "duration", bucket_edges(cells.where("event = 1"), "duration"))
     placed = placed.join(fit_keys.select(*by_), by_, "left_semi").select(
         *by_, "_b", "duration", "event", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)], "n")

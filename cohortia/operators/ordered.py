@@ -43,10 +43,11 @@ def bucket_edges(df: DataFrame, col: str, n_buckets: int | None = None) -> list[
 def with_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str = "_b") -> DataFrame:
     """Bucket number of ``col`` (binary search over literal edges, so the same row always gets the same bucket)."""
     if not edges:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     d = df.withColumn("_bv", F.col(col).cast("double"))
     b = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_bv", outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop("_bv")
+    # an integer key: grouping by a double would hide the existing partitioning from Catalyst
+    return b.transform(d).drop("_bv").withColumn(out, F.col(out).cast("int"))
 
 
 def running(
