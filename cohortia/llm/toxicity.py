@@ -24,8 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.common import mix
-
 DECAY = 0.7
 #: The most characters that may stand between the ends of a triple beyond its own.
 GAP = 2
@@ -47,32 +45,37 @@ def units(text: str | None) -> set[str]:
 
 
 def triples(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The kernel's explicit features of each word: (word number, triple, weight), each triple once, unit length for a word."""
-    if not len(words):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)
-    text = "".join(f"\x02{w}\x03" for w in words)
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = np.array([len(w) + 2 for w in words])
-    word = np.repeat(np.arange(len(words)), n)
-    keys, weights, owner = [], [], []
+    """The kernel's explicit features of each word: (word number, triple, weight). A triple that a word has in several places comes
+    several times; its weight is the sum. With these sums a word has unit length."""
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w) + 2, []).append(i)
+    owner, keys, weights = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0)]
     b = np.uint64(21)
-    for span in range(2, 3 + GAP):
-        ends = np.flatnonzero(word[span:] == word[:-span]) if len(c) > span else np.empty(0, np.int64)
-        for mid in range(1, span):
-            keys.append((c[ends] << (b + b)) | (c[ends + mid] << b) | c[ends + span])
-            weights.append(np.full(len(ends), DECAY ** (span + 1)))
-            owner.append(word[ends])
-    key, wt, own = np.concatenate(keys), np.concatenate(weights), np.concatenate(owner)
-    # a triple that a word has several times is one feature
-    order = np.argsort(mix(key) + mix(own.astype(np.uint64)), kind="stable")
-    key, wt, own = key[order], wt[order], own[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    at = np.flatnonzero(new)
-    wt = np.add.reduceat(wt, at) if len(at) else wt
-    key, own = key[at], own[at]
-    norm = np.sqrt(np.bincount(own, wt * wt, len(words)))
-    return own, key, wt / np.maximum(norm[own], 1e-12)
+    for size, numbers in groups.items():
+        if size < 3:
+            continue
+        text = "".join(f"\x02{words[i]}\x03" for i in numbers)
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, size)
+        key, wt = [], []
+        for span in range(2, min(3 + GAP, size)):
+            left, right = c[:, : size - span] << (b + b), c[:, span:]
+            for mid in range(1, span):
+                key.append(left | (c[:, mid : size - span + mid] << b) | right)
+                wt.append(np.full(size - span, DECAY ** (span + 1)))
+        key, wt = np.concatenate(key, axis=1), np.concatenate(wt)
+        order = np.argsort(key, axis=1)
+        ks, ws = np.take_along_axis(key, order, 1), wt[order]
+        norm = (ws * ws).sum(axis=1)
+        for d in range(1, ks.shape[1]):  # equal triples stand together: their products, one distance after the other
+            same = ks[:, d:] == ks[:, :-d]
+            if not same.any():
+                break
+            norm += 2 * (ws[:, d:] * ws[:, :-d] * same).sum(axis=1)
+        owner.append(np.repeat(np.array(numbers), key.shape[1]))
+        keys.append(key.reshape(-1))
+        weights.append((wt[None, :] / np.sqrt(norm)[:, None]).reshape(-1))
+    return np.concatenate(owner), np.concatenate(keys), np.concatenate(weights)
 
 
 def kernel(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
@@ -81,7 +84,7 @@ def kernel(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     ob, kb, vb = triples(b)
     every = np.unique(kb)
     dense = np.zeros((len(b), len(every)))
-    dense[ob, np.searchsorted(every, kb)] = vb
+    np.add.at(dense, (ob, np.searchsorted(every, kb)), vb)
     at = np.searchsorted(every, ka)
     hit = (at < len(every)) & (every[np.minimum(at, len(every) - 1)] == ka)
     out = np.zeros((len(a), len(b)))
@@ -173,18 +176,23 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = 192, rounds: int = 4
     lists = [np.array([number[w] for w in d], np.int64) for d in docs]
     some = np.flatnonzero(c0 > 0)
     some = some[np.argsort(rank[some])][:negatives]
-    score, model = np.where(c1 >= 2, odds, -np.inf), None
+    # a witness has to be commoner in toxic texts; at first also seen often enough for that to be no chance
+    witness = odds > math.log(3)
+    score, model = np.where(witness & (c1 >= 3), lift, 0.0), None
     own, key, kv = triples(marks)
     for _ in range(rounds):
         worst = np.array([ix[np.argmax(score[ix])] if len(ix) else -1 for ix in lists])
         has = worst >= 0
-        pos = np.unique(worst[has & (y == 1) & np.isfinite(score[np.maximum(worst, 0)])], return_counts=True)
-        neg = np.unique(np.concatenate([worst[has & (y == 0)], some]))
+        good = has & (y == 1)
+        good[good] = (score[worst[good]] > 0) & witness[worst[good]]
+        pos = np.unique(worst[good], return_counts=True)
+        neg = np.setdiff1d(np.concatenate([worst[has & (y == 0)], some]), pos[0])
         if not len(pos[0]):
             break
         x = kernel([words[i] for i in [*pos[0], *neg]], marks) @ white
         t = np.r_[np.ones(len(pos[0])), -np.ones(len(neg))]
-        w, b = _svm(x, t, np.r_[pos[1] * (len(neg) / pos[1].sum()), np.ones(len(neg))] / len(neg) * 100, l2)
+        heavy = np.sqrt(1 + c0[neg])  # a word of many clean texts is a surer negative
+        w, b = _svm(x, t, np.r_[np.sqrt(pos[1]) / np.sqrt(pos[1]).sum(), heavy / heavy.sum()] * 100, l2)
         beta = white @ w
         keys, inv = np.unique(key, return_inverse=True)
         model = ToxicModel(keys, np.bincount(inv, kv * beta[own], len(keys)), float(b), 1.0, 0.0)
