@@ -9,26 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.common import SPACE, lower_ascii
+from cohortia.llm.common import SPACE, let
 from cohortia.session import cut_lineage
 
 #: Hashed dimensions of the classifier.
 DIMS = 1 << 15
 #: Labelled documents that the classifier learns from, for each domain, and their longest text.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Least log odds of a token that counts: rarer tokens differ between domains by chance.
+STRONG = 1.2
 #: Temperatures of which the likeliest on the held-out part of the sample is taken.
 HEATS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 
 def tokens(text: Column) -> Column:
-    """Distinct hashed tokens: words without marks at their ends, and groups of marks."""
-    low = lower_ascii(F.coalesce(text, F.lit("")))
-    words = F.split(F.translate(low, ".,;:!?%&*$#|()[]\"'", " " * 18), f"[{SPACE}]+")
-    marks = F.split(F.regexp_replace(low, r"[\p{L}\p{N}.,\s]++", " "), " ")
-    return F.array_distinct(F.transform(F.filter(F.concat(words, marks), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(DIMS)).cast("int")))
+    """Distinct hashed tokens, cut at white space, stops and commas."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+"), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(DIMS)).cast("int")))
 
 
 def n_tokens(text: Column) -> Column:
@@ -47,30 +48,32 @@ def sample(docs: DataFrame, labelled: DataFrame, domains: Sequence[str]) -> Data
     return cut_lineage(own.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", tokens(F.col("text")).alias("b"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0).alias("held")))
 
 
-def _loglik(rows: DataFrame, domains: Sequence[str]) -> DataFrame:
-    """One row: for each domain k an array ``w_k`` of ``DIMS`` log probabilities that a document has the token, and ``prior_k``."""
+def _evidence(rows: DataFrame, domains: Sequence[str]) -> np.ndarray:
+    """domains x DIMS: log probability that a document of the domain has the token, less the mean over domains; 0 where no domain stands out.
+
+    The counts come to the driver as one row of ``DIMS`` entries.
+    """
     n = rows.groupBy().agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n_{k}") for k, d in enumerate(domains)])
     got = rows.select("domain", F.explode("b").alias("i")).groupBy("i").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c_{k}") for k, d in enumerate(domains)])
     every = rows.sparkSession.range(DIMS).select(F.col("id").cast("int").alias("i")).join(got, "i", "left")
     one = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", *[F.coalesce(f"c_{k}", F.lit(0)).alias(f"c_{k}") for k in range(len(domains))]))).alias("c"))
-    one = one.join(F.broadcast(n), F.lit(True))
-    size = [F.coalesce(F.col(f"n_{k}"), F.lit(0)) for k in range(len(domains))]
-    total = sum(size[1:], size[0])
-
-    def weights(k: int) -> Column:
-        return F.transform("c", lambda x: F.log((x[f"c_{k}"] + 0.1) / (size[k] + 0.2)))
-
-    return one.select(
-        *[weights(k).alias(f"w_{k}") for k in range(len(domains))],
-        *[F.log((size[k] + 1) / (total + len(domains))).alias(f"prior_{k}") for k in range(len(domains))])
+    row = one.join(F.broadcast(n), F.lit(True)).first()
+    size = np.array([row[f"n_{k}"] or 0 for k in range(len(domains))], float)
+    count = np.array([[c[f"c_{k}"] for c in row["c"]] for k in range(len(domains))], float)
+    logs = np.log((count + 2) / (size[:, None] + 4))
+    logs -= logs.mean(axis=0)
+    logs[:, np.abs(logs).max(axis=0) < STRONG] = 0.0
+    return logs
 
 
-def _logits(domains: Sequence[str]) -> list[Column]:
-    """Token evidence of each domain, without the prior."""
-    def one(w: Column) -> Column:
-        return F.aggregate("b", F.lit(0.0), lambda a, i: a + F.get(w, i))
+def _logits(model: np.ndarray) -> list[Column]:
+    """Token evidence of each domain, without the prior. The weights, ``DIMS`` numbers for each domain, are constants of the plan: a join
+    with their row would copy them into every document's row."""
+    def one(k: int) -> Column:
+        held = F.split(F.lit(",".join(f"{x:.5g}" for x in model[k])), ",").cast("array<double>")
+        return F.aggregate("b", F.lit(0.0), lambda a, i: a + F.get(held, i))
 
-    return [one(F.col(f"w_{k}")) for k in range(len(domains))]
+    return [one(k) for k in range(len(model))]
 
 
 def _soft(z: Sequence[Column]) -> list[Column]:
@@ -88,62 +91,72 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
     """
     k = len(domains)
     seen = sample(docs, labelled, domains)
-    trial = seen.where("held").join(F.broadcast(_loglik(seen.where("not held"), domains)), F.lit(True))
-    z = trial.select("domain", F.array(*_logits(domains)).alias("z"), F.array(*[F.col(f"prior_{i}") for i in range(k)]).alias("prior"))
+    part = _evidence(seen.where("not held"), domains)
+    z = seen.where("held").select("domain", F.array(*_logits(part)).alias("z"))
 
     def right(heat: float) -> Column:
-        p = _soft([F.get("z", F.lit(i)) / heat + F.get("prior", F.lit(i)) for i in range(k)])
+        p = _soft([F.get("z", F.lit(i)) / heat for i in range(k)])
         return F.sum(sum((F.when(F.col("domain") == d, F.log(p[i] + 1e-9)).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0)))
 
     like = z.agg(*[right(h).alias(f"h{i}") for i, h in enumerate(HEATS)]).first()
     heat = max(HEATS, key=lambda h: (like[f"h{HEATS.index(h)}"] is not None, like[f"h{HEATS.index(h)}"] or 0.0))
-    model = cut_lineage(_loglik(seen, domains))
-    own = docs.withColumn("b", tokens(F.col("text")))
-    scored = own.join(F.broadcast(model), F.lit(True))  # DIMS numbers for each domain
+    model = _evidence(seen, domains)
+    scored = docs.withColumn("b", tokens(F.col("text")))
     # the sample is balanced, the collection need not be: the labelled table's own shares are the prior
     n = labelled.groupBy().agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"d{i}") for i, d in enumerate(domains)]).first()
     count = [(n[f"d{i}"] or 0) + 1 for i in range(k)]
     prior = [F.log(F.lit(c / sum(count))) for c in count]
-    p = _soft([x / heat + prior[i] for i, x in enumerate(_logits(domains))])
-    return scored.select(*docs.columns, F.array(*p).alias("p"))
+    # the evidence once for each row, then the probabilities from it
+    scored = scored.select(*docs.columns, F.array(*_logits(model)).alias("_z"))
+    p = let(F.col("_z"), lambda z: F.array(*_soft([F.get(z, F.lit(i)) / heat + prior[i] for i in range(k)])))
+    return scored.select(*docs.columns, p.alias("p"))
 
 
-def fit_rates(soft: DataFrame, targets: Sequence[float], tolerance: float = 1e-4, most: int = 200, stored_every: int = 10) -> DataFrame:
+def fit_rates(soft: DataFrame, targets: Sequence[float], tolerance: float = 1e-3, most: int = 60, stored_every: int = 8) -> DataFrame:
     """``soft`` (n, p, further columns) with ``rate``: nonnegative, with sum over rows of rate * n * p[k] nearest to targets[k].
 
-    Least squares weighted by 1 / (tokens of the domain), so a step of length one never overshoots. A rate is the fold
-    of the steps so far, and is written down every ``stored_every`` steps; a step itself reads the table once and returns one number
-    for each domain. Ends when every target is met to ``tolerance``, or when no step changes the totals any more.
+    Projected gradient steps of least squares: rate <- max(0, rate - p . g). The gradient is scaled by the inverse Gram matrix of the rows whose
+    rate is above 0 (tokens that each two domains share), so targets are met in a few steps although rates are cut off at 0; a step that
+    takes the totals further from the targets is followed by shorter ones. A rate is the fold of the steps so far and is written
+    down every ``stored_every`` steps. A step reads the table once and returns some k * k numbers. Ends when every target is met to
+    ``tolerance``, or after ``most`` steps with the rates that came nearest so far: targets can be out of reach.
     """
     k = len(targets)
-    state = soft.withColumn("rate", F.lit(1.0))
-    sizes = soft.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
-    size = [max(sizes[f"s{i}"] or 0.0, 1e-9) for i in range(k)]
+    state = soft.withColumn("rate", F.lit(1.0)).withColumn("_best", F.lit(1.0))
     steps: list[list[float]] = []
+    p = [F.get("p", F.lit(i)) for i in range(k)]
 
     def rate() -> Column:
         if not steps:
             return F.col("rate")
-        held = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+        held = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
+
         def dot(s: Column) -> Column:
-            return sum((F.get(s, F.lit(i)) * F.get("p", F.lit(i)) for i in range(1, k)), F.get(s, F.lit(0)) * F.get("p", F.lit(0)))
+            return sum((F.get(s, F.lit(i)) * p[i] for i in range(1, k)), F.get(s, F.lit(0)) * p[0])
+
         return F.aggregate(held, F.col("rate"), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
-    before = None
+    want = np.array(targets, float)
+    length, before, best = 1.0, np.inf, np.inf
     for _ in range(most):
-        got = state.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i)) * rate()).alias(f"f{i}") for i in range(k)]).first()
-        now = [got[f"f{i}"] or 0.0 for i in range(k)]
-        off = [now[i] - targets[i] for i in range(k)]
-        if all(abs(off[i]) <= tolerance * max(targets[i], 1e-9) for i in range(k)):
-            break
-        if before is not None and all(abs(now[i] - before[i]) <= 1e-7 * size[i] for i in range(k)):
+        now = state.withColumn("r", rate()).agg(
+            *[F.sum(F.col("n") * p[i] * F.col("r")).alias(f"f{i}") for i in range(k)],
+            *[F.sum(F.when(F.col("r") > 0, F.col("n") * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
+        off = np.array([now[f"f{i}"] or 0.0 for i in range(k)]) - want
+        miss = float((np.abs(off) / np.maximum(want, 1e-9)).max())
+        if miss < best:
+            best = miss
+            state = state.withColumn("_best", rate())
+        if miss <= tolerance:
             break
-        before = now
-        steps.append([off[i] / size[i] for i in range(k)])
+        length = length / 2 if miss > before else min(1.0, 2 * length)
+        before = miss
+        gram = np.array([[now[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        steps.append([float(length * x) for x in np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ off])
         if len(steps) >= stored_every:
             state = cut_lineage(state.withColumn("rate", rate()))
             steps = []
-    return state.withColumn("rate", rate())
+    return state.drop("rate").withColumnRenamed("_best", "rate")
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budget: float = 1.0) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.common import SPACE, let, lower_ascii
+from cohortia.llm.common import SPACE, let
 from cohortia.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -95,7 +95,7 @@ def contexts(based: DataFrame, reach: int) -> DataFrame:
     word = rf"[^{SPACE}]++"
     spots = side.select("doc_id", "th", "entity", "w", F.length("w.t").alias("n"), F.explode(_matches(F.col("w.t"), word)).alias("x"))
     cut = (F.col("w.cut_l") & (F.col("x.s") == 0)) | (F.col("w.cut_r") & (F.col("x.e") == F.col("n")))
-    return spots.where(~cut).select("doc_id", "th", "entity", lower_ascii(F.col("x.v")).alias("term"), (F.col("w.at") + F.col("x.s")).alias("s"), (F.col("w.at") + F.col("x.e")).alias("e"))
+    return spots.where(~cut).select("doc_id", "th", "entity", F.lower(F.col("x.v")).alias("term"), (F.col("w.at") + F.col("x.s")).alias("s"), (F.col("w.at") + F.col("x.e")).alias("e"))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, threshold: float, min_docs: int) -> DataFrame:
@@ -110,7 +110,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, threshold: float, min_doc
     of_entity = near.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     terms = pairs.select("term").distinct()
     # document frequencies over the whole corpus, of the terms in question
-    words = docs.select(F.explode(F.array_distinct(F.split(lower_ascii(F.coalesce("text", F.lit(""))), f"[{SPACE}]+"))).alias("term"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]+"))).alias("term"))
     freq = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.select(F.count(F.lit(1)).cast("double").alias("n"))
     p_e = F.col("n_e") / F.col("n")

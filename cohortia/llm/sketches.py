@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortia.llm.common import SPACE, let, lower_ascii, shuffle_partitions
+from cohortia.llm.common import SPACE, let, shuffle_partitions
 from cohortia.operators.ordered import with_bucket
 from cohortia.session import cut_lineage
 
@@ -24,7 +24,7 @@ def sketch(text: Column, fraction: float = 0.25, words: int = 5) -> Column:
     """Sorted hashes of the text's sketch. ``words - 1`` markers stand before and after the words, so that every text has
     shingles, a short one too, and the empty text has those of the markers alone."""
     edge = F.array(*[F.lit("\x00")] * (words - 1))
-    found = F.filter(F.split(lower_ascii(text), f"[{SPACE}]+"), lambda w: w != "")
+    found = F.filter(F.split(F.lower(text), f"[{SPACE}]+"), lambda w: w != "")
     mask = F.lit((1 << BITS) - 1)
     hashes = let(F.concat(edge, found, edge), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - (words - 1)), lambda i: F.xxhash64(F.slice(p, i, words)).bitwiseAND(mask)))
     small = let(hashes, lambda hs: let(F.array_min(hs), lambda least: F.filter(hs, lambda h: (h < int(fraction * (1 << BITS))) | (h == least))))
