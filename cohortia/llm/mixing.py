@@ -112,14 +112,14 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
     return scored.select(*docs.columns, p.alias("p"))
 
 
-def fit_rates(soft: DataFrame, targets: Sequence[float], tolerance: float = 1e-3, most: int = 60, stored_every: int = 8) -> DataFrame:
+def fit_rates(soft: DataFrame, targets: Sequence[float], tolerance: float = 1e-3, most: int = 30, stored_every: int = 8) -> DataFrame:
     """``soft`` (n, p, further columns) with ``rate``: nonnegative, with sum over rows of rate * n * p[k] nearest to targets[k].
 
     Projected gradient steps of least squares: rate <- max(0, rate - p . g). The gradient is scaled by the inverse Gram matrix of the rows whose
     rate is above 0 (tokens that each two domains share), so targets are met in a few steps although rates are cut off at 0; a step that
     takes the totals further from the targets is followed by shorter ones. A rate is the fold of the steps so far and is written
     down every ``stored_every`` steps. A step reads the table once and returns some k * k numbers. Ends when every target is met to
-    ``tolerance``, or after ``most`` steps with the rates that came nearest so far: targets can be out of reach.
+    ``tolerance``, when three steps bring next to nothing, or after ``most`` steps, with the rates that came nearest so far: targets can be out of reach.
     """
     k = len(targets)
     state = soft.withColumn("rate", F.lit(1.0)).withColumn("_best", F.lit(1.0))
@@ -137,22 +137,25 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], tolerance: float = 1e-3
         return F.aggregate(held, F.col("rate"), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
     want = np.array(targets, float)
-    length, before, best = 1.0, np.inf, np.inf
+    length, before, best, idle = 1.0, np.inf, np.inf, 0
     for _ in range(most):
         now = state.withColumn("r", rate()).agg(
             *[F.sum(F.col("n") * p[i] * F.col("r")).alias(f"f{i}") for i in range(k)],
             *[F.sum(F.when(F.col("r") > 0, F.col("n") * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
         off = np.array([now[f"f{i}"] or 0.0 for i in range(k)]) - want
-        miss = float((np.abs(off) / np.maximum(want, 1e-9)).max())
+        miss = float((off * off / np.maximum(want, 1e-9)).sum())
+        idle = 0 if miss < 0.98 * best else idle + 1
         if miss < best:
             best = miss
             state = state.withColumn("_best", rate())
-        if miss <= tolerance:
+        if (np.abs(off) <= tolerance * np.maximum(want, 1e-9)).all() or idle >= 3:
             break
         length = length / 2 if miss > before else min(1.0, 2 * length)
         before = miss
         gram = np.array([[now[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        steps.append([float(length * x) for x in np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ off])
+        # a domain of next to no tokens can't be scaled up to its target at once: the ridge keeps its steps short
+        gram += np.eye(k) * (1e-4 * np.trace(gram) / k + 1e-9)
+        steps.append([float(length * x) for x in np.linalg.solve(gram, off)])
         if len(steps) >= stored_every:
             state = cut_lineage(state.withColumn("rate", rate()))
             steps = []

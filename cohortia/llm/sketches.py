@@ -46,8 +46,13 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
+def _down(order: str) -> list[Column]:
+    return [F.col(order).desc_nulls_last(), F.xxhash64("text")]
+
+
 def with_next(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """``docs`` with ``next``: a struct of the whole following row in descending ``order``; after the last comes the first.
+    """``docs`` with ``next``: a struct of the whole following row in descending ``order``; after the last comes the first. The rows
+    come dealt by ``_range`` and in order.
 
     The rows are dealt once, into equi-depth ranges of ``order``, and each range is ordered by itself. A range's last row takes
     the first row of the next range that has rows from a table with one row for each range. Ties are ordered by the hash of their
@@ -60,7 +65,7 @@ def with_next(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     # the largest come first, nulls last
     ranged = ranged.withColumn("_range", F.when(F.col(order).isNull(), F.lit(n)).otherwise(n - 1 - F.col("_range")).cast("int"))
     row = F.struct(*[F.col(c) for c in docs.columns])
-    down = [F.col(order).desc_nulls_last(), F.xxhash64("text")]
+    down = _down(order)
     w = W.partitionBy("_range").orderBy(*down)
     dealt = ranged.repartition(shuffle_partitions(spark), "_range").sortWithinPartitions("_range", *down)
     led = dealt.withColumn("_own", row).withColumn("next", F.lead("_own").over(w)).drop("_own")
@@ -74,14 +79,14 @@ def with_next(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     first = cut_lineage(first)
     order_of = [r[0] for r in first.select("_range").collect()]  # one number for each range
     if not order_of:
-        return led.drop("_range")
+        return led
     order_of.sort()
     after = dict(zip(order_of, [*order_of[1:], order_of[0]], strict=True))
     follow = F.create_map(*[F.lit(x) for kv in after.items() for x in kv])
     heads = first.select(F.col("_range").alias("_at"), "_row")
     out = led.withColumn("_to", F.when(F.col("next").isNull(), F.element_at(follow, F.col("_range"))))
     out = out.join(F.broadcast(heads), F.col("_to") == F.col("_at"), "left")
-    return out.select(*docs.columns, F.coalesce("next", "_row").alias("next"))
+    return out.select(*docs.columns, "_range", F.coalesce("next", "_row").alias("next"))
 
 
 def fingerprints(docs: DataFrame, fraction: float = 0.25, words: int = 5) -> DataFrame:
@@ -92,12 +97,14 @@ def fingerprints(docs: DataFrame, fraction: float = 0.25, words: int = 5) -> Dat
     with a null doc_id come last. Repeated rows follow one another. Further columns of ``docs`` are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(own).select("doc_id", "text", F.col("next.text").alias("after"))
+    both = with_next(own).select("doc_id", "text", "_range", F.col("next.text").alias("after"))
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("after", F.lit(1), k))
-    made = both.select("doc_id", n.cast("long").alias("n_chars"), "text", "after", edited.alias("edited"))
-    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[
-        sketch(F.col(c), fraction, words).alias(f"s_{c}") for c in ("text", "edited", "after")])
+    made = both.select("doc_id", "_range", "text", "after", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    made = made.select("doc_id", "_range", "text", "after", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[sketch(F.col(c), fraction, words).alias(f"s_{c}") for c in ("text", "edited")])
+    # the next document's sketch is the next row's; only the last row of a range has to make it
+    led = F.lead("s_text").over(W.partitionBy("_range").orderBy(*_down("doc_id")))
+    made = made.withColumn("s_after", F.coalesce(led, sketch(F.col("after"), fraction, words)))
     return made.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s_text")).alias("fingerprint"), fingerprint(F.col("s_edited")).alias("edited_fingerprint"),
                        containment(F.col("s_text"), F.col("s_edited")).alias("near_edited"), containment(F.col("s_text"), F.col("s_after")).alias("near_next"))
