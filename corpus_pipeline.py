@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortia.llm import decontam, linededup, minhash, mixing, quality
 from cohortia.llm.common import table
-from cohortia.llm.queries import MIX_BUDGET, MIX_TARGETS, domains, quality_model
+from cohortia.llm.queries import MIX_BUDGET, domains, quality_model
 from cohortia.session import cut_lineage
 
+#: The first stage leaves no poor documents, so the mixture has shares of the others alone.
+MIX_KEPT = {"good": 0.95, "toxic": 0.05}
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -41,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mixture, with the number of copies that meets the target shares."""
-    return mixing.mix(docs.select(COLUMNS), domains(table(spark, sf_dir, "labels")), MIX_TARGETS, MIX_BUDGET)
+    return mixing.mix(docs.select(COLUMNS), domains(table(spark, sf_dir, "labels")), MIX_KEPT, MIX_BUDGET)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("minhash_near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing_to_targets)]
