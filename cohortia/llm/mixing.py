@@ -48,8 +48,10 @@ def sample(docs: DataFrame, labelled: DataFrame, domains: Sequence[str]) -> Data
     return cut_lineage(own.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", tokens(F.col("text")).alias("b"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0).alias("held")))
 
 
-def _evidence(rows: DataFrame, domains: Sequence[str]) -> np.ndarray:
-    """domains x DIMS: log probability that a document of the domain has the token, less the mean over domains; 0 where no domain stands out.
+def _evidence(rows: DataFrame, domains: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (domains x DIMS) of the tokens that a document has, and what each domain gets for those that it lacks.
+
+    A token counts by its log odds in the domain, and for nothing where no domain stands out.
 
     The counts come to the driver as one row of ``DIMS`` entries.
     """
@@ -60,20 +62,20 @@ def _evidence(rows: DataFrame, domains: Sequence[str]) -> np.ndarray:
     row = one.join(F.broadcast(n), F.lit(True)).first()
     size = np.array([row[f"n_{k}"] or 0 for k in range(len(domains))], float)
     count = np.array([[c[f"c_{k}"] for c in row["c"]] for k in range(len(domains))], float)
-    logs = np.log((count + 2) / (size[:, None] + 4))
-    logs -= logs.mean(axis=0)
-    logs[:, np.abs(logs).max(axis=0) < STRONG] = 0.0
-    return logs
+    p = (count + 2) / (size[:, None] + 4)
+    logs = np.log(p)
+    strong = np.abs(logs - logs.mean(axis=0)).max(axis=0) >= STRONG
+    return np.where(strong, logs - np.log1p(-p), 0.0), np.where(strong, np.log1p(-p), 0.0).sum(axis=1)
 
 
-def _logits(model: np.ndarray) -> list[Column]:
+def _logits(model: tuple[np.ndarray, np.ndarray]) -> list[Column]:
     """Token evidence of each domain, without the prior. The weights, ``DIMS`` numbers for each domain, are constants of the plan: a join
     with their row would copy them into every document's row."""
     def one(k: int) -> Column:
-        held = F.split(F.lit(",".join(f"{x:.5g}" for x in model[k])), ",").cast("array<double>")
-        return F.aggregate("b", F.lit(0.0), lambda a, i: a + F.get(held, i))
+        held = F.split(F.lit(",".join(f"{x:.5g}" for x in model[0][k])), ",").cast("array<double>")
+        return F.aggregate("b", F.lit(float(model[1][k])), lambda a, i: a + F.get(held, i))
 
-    return [one(k) for k in range(len(model))]
+    return [one(k) for k in range(len(model[1]))]
 
 
 def _soft(z: Sequence[Column]) -> list[Column]:
