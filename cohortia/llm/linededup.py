@@ -184,12 +184,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     most = max(1, total // units)
     hot = load.where(F.col("n") > 2 * most).collect()  # at most units / 2 shards can be that full
     gone = probe(build_index(keys, shards, min_docs), lines, shards, {r["shard"]: -(-r["n"] // most) for r in hot}, min_docs)
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_gone"))
-    base = docs.drop("n_lines", "n_dropped", "kept_text").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
-    gone = gone.select(F.col("doc_id").alias("_gid"), F.col("text_hash").alias("_gh"), "_gone")
-    out = base.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left")
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__gone"))
+    base = docs.drop("n_lines", "n_dropped", "kept_text").withColumn("__line_doc", F.col("doc_id").cast("long")).withColumn("__line_text", F.xxhash64("text"))
+    gone = gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_hash").alias("__gone_text"), "__gone")
+    out = base.join(gone, F.col("__line_doc").eqNullSafe(F.col("__gone_doc")) & (F.col("__line_text") == F.col("__gone_text")), "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return out.select(*[c for c in base.columns if c not in ("_id", "_h")], F.size(split).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-                      F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"))
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return out.select(*[c for c in base.columns if c not in ("__line_doc", "__line_text")], F.size(split).cast("long").alias("n_lines"),
+                      F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                      F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"))

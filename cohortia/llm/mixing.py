@@ -103,7 +103,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
     like = z.agg(*[right(h).alias(f"h{i}") for i, h in enumerate(HEATS)]).first()
     heat = max(HEATS, key=lambda h: (like[f"h{HEATS.index(h)}"] is not None, like[f"h{HEATS.index(h)}"] or 0.0))
     model = _evidence(seen, domains)
-    scored = docs.withColumn("b", tokens(F.col("text")))
+    scored = docs.select("*", tokens(F.col("text")).alias("b"))
     # the sample is balanced, the collection need not be: the labelled table's own shares are the prior
     n = labelled.groupBy().agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"d{i}") for i, d in enumerate(domains)]).first()
     count = [(n[f"d{i}"] or 0) + 1 for i in range(k)]
@@ -189,6 +189,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budg
     """
     own = docs.drop("n_tokens", "p", "rate", "copies")
     got = mixture(own, labelled, targets, budget).where("copies > 0").dropDuplicates(["doc_id", "text_hash"])
-    got = got.withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
-    out = own.withColumn("_t", F.xxhash64("text")).join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
+    got = got.withColumnsRenamed({"doc_id": "__mix_doc", "text_hash": "__mix_text"})
+    out = own.withColumn("__mix_own", F.xxhash64("text")).join(got, F.col("doc_id").eqNullSafe(F.col("__mix_doc")) & (F.col("__mix_own") == F.col("__mix_text")))
     return out.select(*own.columns, "n_tokens", "p", "rate", "copies")

@@ -6,6 +6,8 @@ of a match is the length of all gaps up to it and of all matches before it, in c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,19 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>> of all matches: start, end (exclusive), matched string."""
+def _matches(text: Column, pattern: str, valid: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
+    """array<struct<s, e, v>> of the matches that are ``valid``: start, end (exclusive), matched string.
+
+    A text may have very many matches of which few are valid: only these are gathered while the places are counted.
+    """
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     start = F.struct(F.lit(0).alias("end"), none.alias("out"))
 
     def walk(found: Column, gap: Column) -> Column:
-        at = F.transform(found, lambda v, i: F.struct(F.length(F.get(gap, i)).alias("g"), v.alias("v"), F.length(v).alias("n")))
+        at = F.transform(found, lambda v, i: F.struct(F.length(F.get(gap, i)).alias("g"), v.alias("v"), F.length(v).alias("n"), F.coalesce(valid(v), F.lit(False)).alias("ok")))
         return F.aggregate(at, start, lambda acc, m: F.struct(
             (acc["end"] + m["g"] + m["n"]).alias("end"),
-            F.concat(acc["out"], F.array(F.struct((acc["end"] + m["g"]).alias("s"), (acc["end"] + m["g"] + m["n"]).alias("e"), m["v"].alias("v")))).alias("out")))["out"]
+            F.when(m["ok"], F.concat(acc["out"], F.array(F.struct((acc["end"] + m["g"]).alias("s"), (acc["end"] + m["g"] + m["n"]).alias("e"), m["v"].alias("v"))))).otherwise(acc["out"]).alias("out")))["out"]
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gap: walk(f, gap))))
@@ -60,9 +65,9 @@ def find(text: Column) -> dict[str, Column]:
 
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     email = F.when(F.contains(text, F.lit("@")), _matches(text, _EMAIL)).otherwise(none)
-    ip = F.filter(_matches(text, _IP), lambda m: F.forall(F.split(m["v"], r"\."), part))
-    card = F.filter(_matches(text, _CARD), lambda m: F.length(_digits(m["v"])).between(14, 19) & luhn(_digits(m["v"])))
-    phone = F.filter(F.when(F.contains(text, F.lit("+")), _matches(text, _PHONE)).otherwise(none), lambda m: F.length(_digits(m["v"])).between(10, 15))
+    ip = _matches(text, _IP, lambda v: F.forall(F.split(v, r"\."), part))
+    card = _matches(text, _CARD, lambda v: (F.length(v) >= 14) & let(_digits(v), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)))
+    phone = F.when(F.contains(text, F.lit("+")), _matches(text, _PHONE, lambda v: F.length(_digits(v)).between(10, 15))).otherwise(none)
     return {"email": email, "ip": ip, "card": card, "phone": phone}
 
 
