@@ -46,18 +46,23 @@ def degree_weights(edges: DataFrame, penalty: bool = True) -> DataFrame:
     return x.select("u", "v", ((F.col("_du") + F.col("_dv")) / 2.0).alias("weight"))
 
 
-def nearest_terminal(weights: DataFrame, terminals: DataFrame, max_rounds: int = 200) -> DataFrame:
+def nearest_terminal(weights: DataFrame, terminals: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, dist, terminal, parent): cheapest terminal of every reachable node.
 
     Relaxation by join and min over the nodes improved in the last round only, until nothing improves. Each round's
     table is written to the shared folder, so the plan stays short and a lost executor costs one round at most.
+    Without ``max_rounds`` it goes on until nothing improves; a bound that is met before that raises an error.
     """
     both = cut_lineage(weights.select(F.col("u").alias("node"), F.col("v").alias("nbr"), "weight").union(
         weights.select(F.col("v"), F.col("u"), "weight")))
     state = cut_lineage(terminals.select("node").distinct().join(both.select("node").distinct(), "node", "left_semi").select(
         "node", F.lit(0.0).alias("dist"), F.col("node").alias("terminal"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("fresh")))
     best = F.min(F.struct("dist", "terminal", "parent", "fresh"))
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if rounds == max_rounds:
+            raise RuntimeError(f"distances still improve after {max_rounds} rounds")
+        rounds += 1
         front = broadcast_if_small(state.where("fresh").select("node", "dist", "terminal"))
         step = both.join(front, "node").groupBy(F.col("nbr").alias("node")).agg(
             F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("terminal"), F.col("node").alias("parent"), F.lit(True).alias("fresh"))).alias("b"))
