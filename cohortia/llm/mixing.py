@@ -79,7 +79,7 @@ def _logits(model: tuple[np.ndarray, np.ndarray]) -> list[Column]:
 
 
 def _soft(z: Sequence[Column]) -> list[Column]:
-    top = F.greatest(*z)
+    top = F.greatest(*z) if len(z) > 1 else z[0]
     e = [F.exp(x - top) for x in z]
     total = sum(e[1:], e[0])
     return [x / total for x in e]
