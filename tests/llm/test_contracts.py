@@ -118,7 +118,7 @@ def test_op9(spark):
         assert rule == max(fits, key=len, default=None)
         assert verdict == (rules[rule] if rule else ("block" if score >= 0.5 else "allow"))
         if rule is None:
-            assert (verdict == "block") == any(x in host for x in ("spam", "pills", "bets"))
+            assert (verdict == "block") == any(x in host for x in ("spam", "pills", "bets", "casino", "adult"))
 
 
 def test_op10(spark):
