@@ -16,16 +16,20 @@ from cohortia.llm.common import LOWER, UPPER
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
+#: Both classes have the same subdomains, so that these tell nothing.
+_SUB = ("", "www.", "blog.", "m.")
+
 #: A small labelled table (url, 1 to block), from which the model is trained where the caller has none.
 LABELLED_URLS = [
     *[(f"https://{s}{h}.example.{t}/{p}", 1) for h, t, p in [
         ("cheap-pills", "com", "en/12"), ("spam-farm", "org", "en/7"), ("cheap-watches", "net", "fr/80"), ("casino-bonus", "com", "de/4"),
         ("free-money", "net", "es/9"), ("pills-online", "org", "en/301"), ("spam-links", "com", "fr/22"), ("win-casino", "net", "en/640"),
-        ("farm-of-links", "com", "es/71"), ("adult-cams", "net", "en/18"), ("cheap-loans", "com", "en/550"), ("replica-bags", "org", "de/93")] for s in ("", "www.")],
+        ("farm-of-links", "com", "es/71"), ("adult-cams", "net", "en/18"), ("cheap-loans", "com", "en/550"), ("replica-bags", "org", "de/93"),
+        ("sports-bets", "org", "fr/55"), ("adult-chat", "com", "es/37")] for s in _SUB],
     *[(f"http://{s}{h}.example.{t}/{p}", 0) for h, t, p in [
         ("ththre", "com", "fr/825"), ("therha", "net", "en/676"), ("tiontion", "com", "en/853"), ("ththan", "net", "en/960"), ("tionsh", "org", "es/533"),
         ("thertion", "com", "es/978"), ("ththly", "net", "en/777"), ("thernd", "org", "de/612"), ("library", "org", "en/3"), ("museum", "net", "fr/45"),
-        ("university", "com", "en/201"), ("weather", "net", "de/66")] for s in ("", "www.", "blog.", "m.")],
+        ("university", "com", "en/201"), ("weather", "net", "de/66")] for s in _SUB],
 ]
 
 
