@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortia.functions.tails import norm_sf2
-from cohortia.operators import ordered
 from cohortia.operators.ordered import bucket_edges, running, with_bucket
 from cohortia.session import co_locate, cut_lineage
 
@@ -97,14 +96,11 @@ def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: i
     for i in range(p):
         usable = usable & (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
     fit_keys = cut_lineage(sizes.where(usable).select(*by_, "n", "events"))
-    small = cells.count() <= ordered.SMALL_ROWS
-    placed = cells.withColumn("_b", F.lit(0)) if small else with_bucket(
-        cells, "duration", bucket_edges(cells.where("event = 1"), "duration"))
+    placed = with_bucket(cells, "duration", bucket_edges(cells.where("event = 1"), "duration"))
     placed = placed.join(fit_keys.select(*by_), by_, "left_semi").select(
         *by_, "_b", "duration", "event", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)], "n")
-    placed, table = co_locate(placed, by_ if small else [*by_, "_b"])
-    few = fit_keys.count() * p <= 100_000  # coefficients that provably fit a broadcast
-    spread = None if few else cut_lineage(placed.select(*by_, "_b").distinct())
+    placed, table = co_locate(placed, [*by_, "_b"])
+    spread = cut_lineage(placed.select(*by_, "_b").distinct())  # coefficients go to the buckets of their model, by the join AQE picks
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     zero = F.array(*[F.lit(0.0)] * p)
     beta = fit_keys.select(*by_, zero.alias("beta"), F.lit(1.0).alias("move"), F.lit(True).alias("alive"))
@@ -146,11 +142,10 @@ def cox_fit(data: DataFrame, by: Sequence[str], covs: Sequence[str], max_iter: i
     def score(b: DataFrame) -> DataFrame:
         """U and I at the current coefficients, per key. The bucketed rows are neither shuffled nor sorted by key."""
         b = b.select(*by_, "beta")
-        rows = placed.join(F.broadcast(b), by_) if few else placed.join(spread.join(b, by_), [*by_, "_b"])
+        rows = placed.join(spread.join(b, by_), [*by_, "_b"])
         rows = rows.select("*", (F.col("n") * F.exp(eta)).alias("w")).select(*by_, "_b", "duration", *row_terms)
         t = rows.groupBy(*by_, "_b", "duration").agg(*cell_aggs)
-        rs = running(t, by_, ["duration"], {f"R{c}": ("sum", c) for c in s_cols}, descending=True,
-                     bucket=None if small else "_b", totals_from=rows).where("d > 0")
+        rs = running(t, by_, ["duration"], {f"R{c}": ("sum", c) for c in s_cols}, descending=True, totals_from=rows).where("d > 0")
         if efron:
             rs = rs.select("*", bb.alias("_bb")).select("*", *ties)
         return rs.groupBy(*by_).agg(*fit_aggs)

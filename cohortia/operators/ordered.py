@@ -22,9 +22,8 @@ from pyspark.sql.window import Window as W
 
 from cohortia.session import cut_lineage
 
-# A stored table with at most this many rows is ordered by plain windows: its size has been counted, so one task can
-# hold all of it. Everything larger goes through the buckets.
-SMALL_ROWS = 250_000
+# Rows that a (key, bucket) group of a random order has on average where one key holds the whole table.
+RANDOM_ROWS = 100_000
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -35,7 +34,7 @@ def bucket_edges(df: DataFrame, col: str, n_buckets: int | None = None) -> list[
     Any edges give right results; they only steer balance. So take them from the smallest table that has the
     column, and reuse them for every operator over it.
     """
-    n = n_buckets or min(1024, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    n = n_buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     got = df.select(F.col(col).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.5 / n)
     return sorted({e for e in got if e is not None and math.isfinite(e)})
 
@@ -55,7 +54,7 @@ def running(
     by: Sequence[str],
     order: Sequence[str],
     aggs: dict[str, tuple[str, str]],
-    bucket: str | None = "_b",
+    bucket: str = "_b",
     descending: bool = False,
     totals: dict[str, str] | None = None,
     strict: bool = False,
@@ -69,19 +68,10 @@ def running(
     output -> column for sums over the peers alone.
     ``totals`` maps output -> column for whole-key sums, taken from the bucket totals. ``totals_from`` may name a
     finer table with the same columns to take bucket totals from, when that saves recomputing ``cells``.
-    ``bucket`` None means plain windows, for tables whose size the caller has counted.
     """
     by = list(by)
     totals, peers = totals or {}, peers or {}
     part = [F.col(c) for c in by] or [F.lit(0)]
-    if bucket is None:
-        oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-        upto = W.partitionBy(*part).orderBy(*oc).rangeBetween(W.unboundedPreceding, W.currentRow)
-        tied, whole = W.partitionBy(*part, *order), W.partitionBy(*part)
-        own = {o: _AGG[f](c).over(upto) - (F.sum(c).over(tied) if strict else F.lit(0)) if f == "sum" else _AGG[f](c).over(upto)
-               for o, (f, c) in aggs.items()}
-        return cells.select("*", *[v.alias(o) for o, v in own.items()], *[F.sum(c).over(whole).alias(o) for o, c in totals.items()],
-                            *[F.sum(c).over(tied).alias(o) for o, c in peers.items()])
     sums = sorted({c for f, c in aggs.values() if f == "sum"} | set(totals.values()))
     pre = [F.sum(c).alias(f"_t_sum_{c}") for c in sums]
     pre += [_AGG[f](c).alias(f"_t_{f}_{c}") for f, c in sorted(set(aggs.values())) if f != "sum"]
@@ -120,9 +110,7 @@ def running(
 
 
 def running_by(cells: DataFrame, by: Sequence[str], order: Sequence[str], aggs: dict[str, tuple[str, str]], **kw) -> DataFrame:
-    """``running`` over a stored table: plain windows when its counted size is small, buckets of ``order[0]`` otherwise."""
-    if cells.count() <= SMALL_ROWS:  # footers only: the table is stored
-        return running(cells, by, order, aggs, bucket=None, **kw)
+    """``running`` over a stored table, in buckets of ``order[0]``."""
     return running(with_bucket(cells, order[0], bucket_edges(cells, order[0])), by, order, aggs, **kw).drop("_b")
 
 
@@ -178,12 +166,14 @@ def draw_key(seed: int, *parts: Column | str) -> Column:
 def draw_order(df: DataFrame, by: Sequence[str], seed: int, keys: Sequence[str], out: str = "rn") -> DataFrame:
     """1-based position of each row in md5 order within ``by``. Rows must be unique on (by, keys).
 
-    The first hex digits of the md5 are uniform and order-preserving, so they serve as buckets without any pass.
+    The first hex digits of the md5 are uniform and order-preserving, so they serve as buckets; their number follows
+    the counted rows.
     """
     d = df.withColumn("_k", draw_key(seed, *by, *keys)).withColumn("_one", F.lit(1))
-    d = cut_lineage(d.withColumn("_b", F.substring("_k", 1, 2)))
-    b = None if d.count() <= SMALL_ROWS else "_b"
-    return running(d, by, ["_k", *keys], {out: ("sum", "_one")}, bucket=b).drop("_k", "_one", "_b")
+    d = cut_lineage(d)
+    digits = max(1, math.ceil(math.log(max(1, d.count()) / RANDOM_ROWS, 16)))  # footers only: the table is stored
+    d = d.withColumn("_b", F.substring("_k", 1, digits))
+    return running(d, by, ["_k", *keys], {out: ("sum", "_one")}).drop("_k", "_one", "_b")
 
 
 def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "fdr") -> DataFrame:
@@ -192,19 +182,12 @@ def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "fdr")
     df = cut_lineage(df)  # one row per test: write it once instead of running the screen for every branch below
     good = F.coalesce(F.col(p).between(0.0, 1.0) & ~F.isnan(p), F.lit(False))
     ok = df.where(good)
-    if df.count() <= SMALL_ROWS:
-        part = [F.col(c) for c in family] or [F.lit(0)]
-        up = W.partitionBy(*part).orderBy(F.col(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
-        down = W.partitionBy(*part).orderBy(F.col(p).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-        q = F.col(p) * F.count(F.lit(1)).over(W.partitionBy(*part)) / F.count(F.lit(1)).over(up)
-        adj = ok.withColumn("_q", q).withColumn(out, F.least(F.min("_q").over(down), F.lit(1.0))).drop("_q")
-        return adj.union(df.where(~good).withColumn(out, F.lit(None).cast("double")))
     cells = cut_lineage(ok.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")))
     up = running(with_bucket(cells, p, bucket_edges(cells, p)), family, [p], {"_r": ("sum", "_n")}, totals={"_m": "_n"})
     raw = cut_lineage(up.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r")))
     adj = running(raw, family, [p], {"_adj": ("min", "_q")}, descending=True)
     adj = adj.select(*family, F.col(p), F.least(F.col("_adj"), F.lit(1.0)).alias(out))
-    return df.join(adj, [*family, p], "left")
+    return df.join(adj, [*family, p], "left").select(*df.columns, out)
 
 
 def quantile_bins(df: DataFrame, by: Sequence[str], value: str, k: int, out: str = "bin") -> DataFrame:

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from cohortia.operators import ordered
 
 
-@pytest.fixture(params=[0, 250_000], autouse=True)
-def route(request, monkeypatch):
-    """Every test runs over the buckets and over plain windows."""
-    monkeypatch.setattr(ordered, "SMALL_ROWS", request.param)
-
-
 @pytest.fixture(scope="module")
 def skewed():
     rng = np.random.default_rng(1)
