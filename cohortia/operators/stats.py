@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortia.functions.tails import chi2_sf, f_sf, fisher2, hyper_sf, norm_sf2, t_sf2
+from cohortia.functions.tails import chi2_sf, f_sf, fisher2, hyper_sf, norm_sf2, t_quantile95, t_sf2
 from cohortia.operators.ordered import add_rank, bh_fdr, rank_table, ranked_cells
 from cohortia.session import cut_lineage, distinct_values
 
@@ -245,17 +245,10 @@ def cohens_d(df: DataFrame, by: Sequence[str], value: str, in_a: Column) -> Data
                                ((F.avg(a) - F.avg(b)) / F.nullif(sd, F.lit(0.0))).alias("d"))
 
 
-# fixed values: two-sided 95% Student t quantiles for 1..30 degrees of freedom; 1.96 beyond
-T_CRIT = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
-          2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
-
-
 def mean_ci(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, sd (n-1) and half-width of the 95% t interval."""
-    crit = F.array(*[F.lit(v) for v in T_CRIT])
     a = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("sd"))
-    t = F.when(F.col("n") - 1 <= len(T_CRIT), F.try_element_at(crit, (F.col("n") - 1).cast("int"))).otherwise(1.96)
-    return a.withColumn("ci95", F.when(F.col("n") > 1, t * F.col("sd") / F.sqrt("n")))
+    return a.withColumn("ci95", t_quantile95(F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
 
 
 def separation(a: DataFrame, key: Sequence[str], side: str, left, right) -> DataFrame:

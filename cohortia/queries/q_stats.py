@@ -152,8 +152,24 @@ def cohen(spark, d):
     return rounded(stats.cohens_d(expr(spark, d).join(grp(spark, d), "sample_id"), ["feature"], "value", F.col("label") < "5"))
 
 
-@query("mean_ci", f"""SELECT event_type, arm, n, {r('mean')} AS mean, {r('sd')} AS sd, {r('CASE WHEN n - 1 <= 30 THEN NULL ELSE 1.96 * sd / sqrt(n) END')} AS ci95 FROM (
- SELECT event_type, user_id % 3 AS arm, count(value) AS n, avg(value) AS mean, stddev(value) AS sd FROM events GROUP BY 1, 2)""")
+def _mean_ci_sql(arm):
+    """t quantiles by halving on the closed form of the t distribution for whole degrees of freedom (a sum of cosines)."""
+    odd = "2 / pi() * (th + sin(th) * coalesce(list_sum([exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos(th), 2 * j + 1) FOR j IN range(0, (v - 1) // 2)]), 0))"
+    even = "sin(th) * list_sum([exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(th), 2 * j) FOR j IN range(0, v // 2)])"
+    return f"""WITH RECURSIVE g AS (SELECT event_type, {arm} AS arm, count(value) AS n, avg(value) AS mean, stddev(value) AS sd FROM events GROUP BY 1, 2),
+b AS (SELECT DISTINCT n - 1 AS v, 0 AS i, 0::DOUBLE AS lo, 16::DOUBLE AS hi FROM g WHERE n > 1
+ UNION ALL SELECT v, i + 1, CASE WHEN a < 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN a < 0.95 THEN hi ELSE (lo + hi) / 2 END FROM (
+  SELECT *, CASE WHEN v % 2 = 1 THEN {odd} ELSE {even} END AS a FROM (SELECT *, atan((lo + hi) / 2 / sqrt(v)) AS th FROM b WHERE i < 50)))
+SELECT event_type, arm, n, {r('mean')} AS mean, {r('sd')} AS sd, {r('(lo + hi) / 2 * sd / sqrt(n)')} AS ci95 FROM g LEFT JOIN (SELECT v, lo, hi FROM b WHERE i = 50) ON v = n - 1"""
+
+
+@query("mean_ci_small_groups", _mean_ci_sql("user_id"))
+def mean_ci_small(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("user_id").alias("arm"), "value")
+    return rounded(stats.mean_ci(e, ["event_type", "arm"], "value"))
+
+
+@query("mean_ci", _mean_ci_sql("user_id % 3"))
 def mean_ci(spark, d):
     e = table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("arm"), "value")
     return rounded(stats.mean_ci(e, ["event_type", "arm"], "value"))

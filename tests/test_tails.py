@@ -56,3 +56,13 @@ def test_spark_functions_handle_nulls(spark):
     r = df.select(tl.f_sf("x", "d", F.lit(5)).alias("f"), tl.t_sf2("x", "d").alias("t"), tl.chi2_sf("x", "d").alias("c"), tl.norm_sf2("x").alias("z")).collect()
     assert r[1]["f"] is None and r[1]["t"] is None and r[2]["f"] == 0.0 and r[2]["t"] == 0.0
     assert r[0]["z"] == pytest.approx(math.erfc(1 / math.sqrt(2)), abs=1e-12)
+
+
+def test_t_quantile_against_closed_forms_and_tables():
+    from cohortia.functions.tails import np_t_quantile
+    level = 0.95
+    got = np_t_quantile([1, 2, 40, 1000, 1001, 1e12])
+    assert np.isclose(got[0], np.tan(np.pi * level / 2), rtol=1e-11)
+    assert np.isclose(got[1], level * np.sqrt(2 / (1 - level ** 2)), rtol=1e-11)
+    assert np.isclose(got[2], 2.0210753903, atol=1e-9)
+    assert abs(got[3] - got[4]) < 3e-6 and np.isclose(got[5], 1.959963984540, atol=1e-11)
