@@ -156,11 +156,15 @@ def _event_stream(spark, d):
 
 
 @query("stream_run_log_rollup", """SELECT start, arm, count(*) AS n, sum(k)::BIGINT AS input_tokens, sum(k * 2)::BIGINT AS output_tokens, round(sum(value), 4) + 0.0 AS exec_s, count(*) FILTER (event_type = 'error') AS n_errors FROM (
- SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, 'g' || (user_id % 3) AS arm, (props::JSON->>'$.k')::BIGINT AS k, value, event_type FROM events) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2""")
+ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, 'g' || (user_id % 3) AS arm, (props::JSON->>'$.k')::BIGINT AS k, value, event_type FROM events) GROUP BY 1, 2""")
 def stream_rollup(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    s = _event_stream(spark, d).select("ts", F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("arm"), k.alias("input_tokens"), (k * 2).alias("output_tokens"), F.col("value").alias("exec_time_s"), (F.col("event_type") == "error").alias("is_error"))
-    return rounded(runlog.drain(runlog.rollup_stream(s), "rollup", scratch(spark, "stream")), 4)
+
+
+    def log(e):
+        return e.select("ts", F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("arm"), k.alias("input_tokens"), (k * 2).alias("output_tokens"), F.col("value").alias("exec_time_s"), (F.col("event_type") == "error").alias("is_error"))
+    closed = runlog.drain(runlog.rollup_stream(log(_event_stream(spark, d))), "rollup", scratch(spark, "stream"))
+    return rounded(runlog.with_open_windows(closed, log(table(spark, d, "events"))), 4)
 
 
 @query("stream_event_gate", "SELECT user_id::VARCHAR AS key, event_id AS seq FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM events) WHERE seen >= 3")

@@ -21,26 +21,37 @@ def rollup_stream(log: DataFrame, window: str = "1 hour", lateness: str = "2 hou
             .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "arm", "n", "input_tokens", "output_tokens", "exec_s", "n_errors"))
 
 
+def with_open_windows(closed: DataFrame, log: DataFrame, window: str = "1 hour") -> DataFrame:
+    """A whole backfill: the windows a drained ``rollup_stream`` emitted, and those its watermark has not passed yet.
+
+    ``closed`` is what ``drain`` returned, ``log`` the stored table the stream read. Open windows start no earlier than the last
+    closed one, so only the end of the log is read again; what came too late for a closed window stays out, as in the stream.
+    """
+    last = closed.agg(F.max("start")).first()[0]
+    rest = log if last is None else log.where(F.col("ts").cast("timestamp") >= F.lit(last).cast("timestamp"))
+    still_open = rollup_stream(rest, window).join(closed.select("start", "arm"), ["start", "arm"], "left_anti")
+    return closed.unionByName(still_open.select(closed.columns))
+
+
 def gate_stream(log: DataFrame, is_event: str, n: int, lateness: str = "2 hours") -> DataFrame:
     """Rows of each key at or after its n-th qualifying event; the state per key is one counter.
 
     log(key string, ts, seq long, payload string, ...); ``is_event`` is a SQL condition. A key's rows are counted in
-    arrival order of micro-batches, and in sequence order inside one.
+    arrival order of micro-batches, and in sequence order inside one: a key's rows of one trigger come in several Arrow
+    batches and are sorted together, so the source's rate limit (``maxFilesPerTrigger``) bounds the memory of a hot key.
     """
     x = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select("key", "ts", "seq", "payload", F.expr(is_event).cast("int").alias("hit"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            total = seen + pdf["hit"].cumsum()
-            seen = int(total.iloc[-1]) if len(total) else seen
-            out = pdf[total >= n]
-            if len(out):
-                yield out[["key", "ts", "seq", "payload"]]
-        state.update((min(seen, 2_000_000_000),))
-
-    return x.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, seq long, payload string", "seen int", "append", GroupStateTimeout.NoTimeout)
+        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        total = seen + pdf["hit"].fillna(0).astype("int64").cumsum()
+        state.update((int(total.iloc[-1]) if len(total) else seen,))
+        out = pdf[total >= n]
+        if len(out):
+            yield out[["key", "ts", "seq", "payload"]]
+
+    return x.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, seq long, payload string", "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -134,3 +134,23 @@ def test_stream_gate_keeps_its_counter_between_runs(spark, tmp_path):
     assert run().count() == 0
     put([(3, "x"), (4, "y")])
     assert sorted(r["seq"] for r in run().collect()) == [3, 4]
+
+
+def test_stream_gate_sorts_a_key_over_several_arrow_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = spark.range(40_000).select(F.lit("k").alias("key"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts"), (40_000 - F.col("id")).alias("seq"), F.lit("x").alias("payload"))
+    rows.coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema(rows.schema).parquet(str(src))
+    got = runlog.drain(runlog.gate_stream(stream, "payload = 'x'", 39_990), "g", str(tmp_path))
+    assert sorted(r["seq"] for r in got.collect()) == list(range(39_990, 40_001))
+
+
+def test_backfill_keeps_the_open_windows(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = spark.createDataFrame([(f"2024-01-01 {t}:00", "a", 1, 2, 0.5, False) for t in ("00:10", "06:00", "06:30", "07:00")],
+                                 "ts string, arm string, input_tokens long, output_tokens long, exec_time_s double, is_error boolean").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(src))
+    closed = runlog.drain(runlog.rollup_stream(spark.readStream.schema(rows.schema).parquet(str(src))), "r", str(tmp_path))
+    assert closed.count() == 1
+    got = runlog.with_open_windows(closed, spark.read.parquet(str(src)))
+    assert sorted((r["start"].hour, r["n"]) for r in got.collect()) == [(0, 1), (6, 2), (7, 1)]
