@@ -273,7 +273,9 @@ def replicate_kmeans(vectors: DataFrame, members: DataFrame, k: int, reps: int,
                     np.add.at(sums[rep, i], lab, w)
                     cost[rep, i] += dd.sum()
         r, i, j = np.nonzero(cnt)
-        yield pd.DataFrame({"rep": r, "ini": i, "cl": j, "n": cnt[r, i, j], "s": list(sums[r, i, j]), "cost": cost[r, i]})
+        yield pd.DataFrame({"rep": r, "ini": i, "cl": j, "n": cnt[r, i, j], "s": list(sums[r, i, j]), "cost": 0.0})
+        r, i = np.nonzero(cnt.sum(2))  # a run's cost is a row of its own: no partition need hold all clusters
+        yield pd.DataFrame({"rep": r, "ini": i, "cl": -1, "n": 0.0, "s": [[0.0] * d] * len(r), "cost": cost[r, i]})
 
     schema = "rep long, ini long, cl long, n double, s array<double>, cost double"
     add = F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), d), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
@@ -281,18 +283,27 @@ def replicate_kmeans(vectors: DataFrame, members: DataFrame, k: int, reps: int,
         cur = centres.copy()
         got = x.mapInPandas(lambda b, cur=cur: step(b, cur), schema).groupBy("rep", "ini", "cl").agg(F.sum("n").alias("n"), add.alias("s"), F.sum("cost").alias("cost")).collect()
         cost = np.zeros((reps, n_init))
-        for r in got:  # a run's cost is repeated on each of its cluster rows of a partition, so keep the largest sum
-            centres[r["rep"], r["ini"], r["cl"]] = np.asarray(r["s"]) / r["n"]
-            cost[r["rep"], r["ini"]] = max(cost[r["rep"], r["ini"]], r["cost"])
+        for r in got:
+            if r["cl"] < 0:
+                cost[r["rep"], r["ini"]] = r["cost"]
+            else:
+                centres[r["rep"], r["ini"], r["cl"]] = np.asarray(r["s"]) / r["n"]
         if np.abs(centres - cur).max() < tol:
             break
     best = centres[np.arange(reps), cost.argmin(1)]
 
     def label(batches):
         for pdf in batches:
-            for sid, vec, own in zip(pdf["sample_id"], pdf["vec"], pdf["reps"]):
-                lab = [int(((best[r] - np.asarray(vec)) ** 2).sum(1).argmin()) for r in own]
-                yield pd.DataFrame({"rep": own, "sample_id": sid, "cluster": lab})
+            if not len(pdf):
+                continue
+            v = np.vstack(pdf["vec"].to_numpy())
+            at = np.repeat(np.arange(len(pdf)), pdf["reps"].map(len))
+            rr = np.concatenate(pdf["reps"].to_numpy())
+            lab = np.empty(len(rr), np.int32)
+            for rep in np.unique(rr):
+                mine = rr == rep
+                lab[mine] = assign(v[at[mine]], best[rep])[0]
+            yield pd.DataFrame({"rep": rr.astype(np.int32), "sample_id": pdf["sample_id"].to_numpy()[at], "cluster": lab})
 
     out = T.StructType([T.StructField("rep", T.IntegerType()), x.schema["sample_id"], T.StructField("cluster", T.IntegerType())])
     return x.mapInPandas(label, out)

@@ -132,3 +132,16 @@ def test_sample_vectors_impute_and_constant(spark):
     e = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (1, "b", 5.0), (2, "b", 5.0), (1, "c", 2.0)], "sample_id int, feature string, value double")
     got = {r["sample_id"]: r["vec"] for r in cl.sample_vectors(e).collect()}
     assert got == {1: [-1.0, 0.0, 0.0], 2: [1.0, 0.0, 0.0]}
+
+
+def test_replicate_kmeans_costs_add_up_over_partitions(spark):
+    """Four groups, each in partitions of its own; the first start falls into a worse minimum, the second into the right one."""
+    rng = np.random.default_rng(4)
+    spots = [(0, 0), (0, 10), (40, 0), (40, 10)]
+    rows = [(f"{g}_{i}", [float(a) for a in np.array(c) + rng.normal(0, 0.1, 2)]) for g, c in enumerate(spots) for i in range(20)]
+    v = spark.createDataFrame(rows, "sample_id string, vec array<double>").repartitionByRange(4, "sample_id")
+    bad, good = ["0_0", "0_1", "1_0", "2_0"], ["0_2", "1_2", "2_2", "3_2"]
+    rest = [s for s, _ in rows if s not in bad + good]
+    members = spark.createDataFrame([(0, s, i + 1) for i, s in enumerate(bad + good + rest)], "rep int, sample_id string, rn int")
+    got = {r["sample_id"]: r["cluster"] for r in cl.replicate_kmeans(v, members, 4, 1, n_init=2).collect()}
+    assert len(got) == 80 and len({(s[0], c) for s, c in got.items()}) == 4 == len(set(got.values()))
