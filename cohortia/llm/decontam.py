@@ -97,32 +97,47 @@ class Block:
     def __init__(self, items: list[tuple[int | None, np.ndarray]], least: int):
         self.items, self.least = items, least
         sh = Shingler(least)
-        seeds = [np.unique(sh.sequence(w)) for _, w in items]
-        key = np.concatenate(seeds)
-        own = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
+        self.places = [sh.sequence(w) for _, w in items]  # the seed that starts at each word
+        seeds = [np.unique(x, return_counts=True) for x in self.places]
+        key = np.concatenate([s for s, _ in seeds])
+        own = np.repeat(np.arange(len(items)), [len(s) for s, _ in seeds])
         order = np.argsort(key, kind="stable")
         self.keys, first = np.unique(key[order], return_index=True)
         self.first = np.append(first, len(order))
         self.owners = own[order]
+        self.times = np.concatenate([n for _, n in seeds])[order]  # places of a seed in its item
         # an item shorter than the minimal match is its own minimal match, and hashed as a whole
         self.short = sorted({len(w) for _, w in items if len(w) < least})
 
 
+def under(places: np.ndarray, shared: np.ndarray, least: int) -> int:
+    """Words of an item that lie under shared seeds, at every place where these stand in it."""
+    ends = np.zeros(len(places) + least, np.int64)
+    at = np.flatnonzero(np.isin(places, shared))
+    ends[at] += 1
+    ends[at + least] -= 1
+    return int((np.cumsum(ends) > 0).sum())
+
+
 def hits(w: np.ndarray, block: Block, shingler: Shingler, cut: float) -> list[tuple[int, float, int, int]]:
     """(item number, coverage, longest tile, tiles) of the items whose words are covered to ``cut`` or more by tiles."""
-    met = defaultdict(int)
+    met, shared = defaultdict(int), []
     for n in [*block.short, block.least]:
         seq = np.unique(shingler.windows(w, n))
         at = np.minimum(np.searchsorted(block.keys, seq), len(block.keys) - 1)
+        shared.append(seq[block.keys[at] == seq])
         for x in at[block.keys[at] == seq].tolist():
-            for i in block.owners[block.first[x] : block.first[x + 1]].tolist():
-                met[i] += 1
+            s = slice(block.first[x], block.first[x + 1])
+            for i, times in zip(block.owners[s].tolist(), block.times[s].tolist(), strict=True):
+                met[i] += times
+    shared = np.concatenate(shared)
     out = []
     for i, n in met.items():
         item = block.items[i][1]
         least = min(block.least, len(item))
-        if n * least < cut * len(item):
-            continue  # fewer words under shared seeds than the threshold asks for: tiles can't reach it
+        # tiles lie under shared seeds: where these cover too few of the item's words, tiles can't reach the threshold
+        if min(n * least, len(item)) / len(item) < cut or under(block.places[i], shared, least) / len(item) < cut:
+            continue
         t = tiles(item, w, least)
         coverage = sum(k for _, _, k in t) / len(item)
         if coverage >= cut:

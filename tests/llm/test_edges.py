@@ -120,6 +120,19 @@ def test_reordered_passage():
         assert all((item[i : i + k] == doc[j : j + k]).all() for i, j, k in t)
 
 
+def test_repeated_phrases(spark):
+    """Items whose seeds stand in several places, against tiles by trying all places."""
+    phrase = [f"p{i}" for i in range(10)]
+    rows = [[f"| row {i} | yes | no | never | maybe |"] for i in range(4)]
+    items = [phrase * 10, phrase * 6 + [f"x{i}" for i in range(40)], " ".join(r[0] for r in rows).split(), ["la"] * 30]
+    texts = [*items, phrase, phrase * 7 + ["tail"], items[1][30:] + items[1][:30], ["la"] * 17 + ["end"], ["la"] * 18]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.leaks(docs, bench).collect()}
+    want = {(d, i): brute.coverage(item, w, 5) for d, w in enumerate(texts) for i, item in enumerate(items)}
+    assert got == pytest.approx({k: c for k, c in want.items() if c >= 0.6}) and all(got[i, i] == 1 for i in range(4))
+
+
 def test_classifiers(docs, none):
     train = [(f"good plain words number {i}", 1) for i in range(30)] + [(f"you idiot number {i}", 0) for i in range(30)]
     tox = toxicity.train([(t, 1 - y) for t, y in train])
