@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.llm.common import SPACE, let
-from cohortia.session import cut_lineage
+from cohortia.session import broadcast_if_small, cut_lineage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
+#: Documents by which the estimate of P(e|t) leans to P(e).
+PRIOR = 0.5
+
+#: Disclosing terms up to which their hashes are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+
 # The patterns match what the plain ones named in the docstring of `find` do. A match may start only where a run of
 # its characters starts or where the last match ended, and repetitions are possessive: no text takes quadratic time.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -83,62 +89,86 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "text", *[c.alias(k) for k, c in find(F.col("text")).items()])
 
 
-def contexts(based: DataFrame, reach: int) -> DataFrame:
-    """The words within ``reach`` code points before and after each base span: doc_id, th, entity, term, s, e.
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without ``spans`` (structs with s, e) and without the words that touch them."""
+    first = rf"^[^{SPACE}]++"
+    last = rf"(?<![^{SPACE}])[^{SPACE}]++$"
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.regexp_replace(F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), last, "")
+        gap = F.when(acc["at"] > 0, F.regexp_replace(gap, first, "")).otherwise(gap)
+        return F.struct(F.concat(acc["out"], gap, F.lit(" ")).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+
+    done = F.aggregate(F.array_sort(spans), start, step)
+    return F.concat(done["out"], F.regexp_replace(F.substring(text, done["at"] + 1, F.length(text)), first, ""))
+
 
-    A word cut by the window's edge, or touching the span itself, is left out.
+def _words(text: Column) -> Column:
+    """Distinct lower-cased words of a text."""
+    return F.array_distinct(F.split(F.lower(text), f"[{SPACE}]+"))
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def disclosing_terms(docs: DataFrame, based: DataFrame, threshold: float) -> DataFrame:
+    """(term, disclosure) of terms that give an entity away; term is a hash, disclosure that of the entity which it gives away most.
+
+    ``disclosure`` is the pointwise mutual information of term and entity over whole documents as a share of what knowing the entity
+    itself tells, log P(e|t)/P(e) over log 1/P(e): 1 when the entity stands in every document of the term, 0 when the two are
+    independent. P(e|t) counts the term's documents and ``PRIOR`` further ones that hold the entity as any document does: a
+    term seen once weighs less than one seen often, and a value of one document can be disclosed too. Words that touch a base
+    span don't stand for its entity.
     """
     every = F.concat(*[F.col(k) for k in KINDS[:4]])
-    one = based.where(F.size(every) > 0).select("doc_id", F.xxhash64("text").alias("th"), "text", F.explode(F.array_distinct(every)).alias("m"))
-    lo = F.greatest(F.col("m.s") - reach, F.lit(0))
-    # one more character on the far side shows whether a word is cut there
-    before = F.substring("text", F.greatest(lo, F.lit(1)), F.when(lo > 0, F.col("m.s") - lo + 1).otherwise(F.col("m.s")))
-    after = F.substring("text", F.col("m.e") + 1, F.lit(reach + 1))
-    sides = F.array(F.struct(before.alias("t"), F.greatest(lo - 1, F.lit(0)).alias("at"), (lo > 0).alias("cut_l"), F.lit(True).alias("cut_r")),
-                    F.struct(after.alias("t"), F.col("m.e").alias("at"), F.lit(True).alias("cut_l"), (F.length(after) > reach).alias("cut_r")))
-    side = one.select("doc_id", "th", F.xxhash64(F.col("m.v")).alias("entity"), F.explode(sides).alias("w"))
-    word = rf"[^{SPACE}]++"
-    spots = side.select("doc_id", "th", "entity", "w", F.length("w.t").alias("n"), F.explode(_matches(F.col("w.t"), word)).alias("x"))
-    cut = (F.col("w.cut_l") & (F.col("x.s") == 0)) | (F.col("w.cut_r") & (F.col("x.e") == F.col("n")))
-    return spots.where(~cut).select("doc_id", "th", "entity", F.lower(F.col("x.v")).alias("term"), (F.col("w.at") + F.col("x.s")).alias("s"), (F.col("w.at") + F.col("x.e")).alias("e"))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, threshold: float, min_docs: int) -> DataFrame:
-    """(entity, term, disclosure) of terms that give an entity away.
-
-    ``disclosure`` is the pointwise mutual information of term and entity over documents as a share of what knowing the entity
-    itself tells, log P(e|t)/P(e) over log 1/P(e): 1 when the entity stands by every use of the term in the corpus, 0 when the two
-    are independent. A term has to stand by the entity in ``min_docs`` documents, or chance meetings would count.
-    """
-    seen = near.select("doc_id", "th", "entity", "term").distinct()
-    pairs = cut_lineage(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_docs))
-    of_entity = near.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = pairs.select("term").distinct()
-    # document frequencies over the whole corpus, of the terms in question
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]+"))).alias("term"))
-    freq = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(F.count(F.lit(1)).cast("double").alias("n"))
-    p_e = F.col("n_e") / F.col("n")
-    share = F.log(F.col("n_et") / F.col("n_t") / p_e) / -F.log(p_e)
-    out = pairs.join(of_entity, "entity").join(freq, "term").join(F.broadcast(total), F.lit(True))
-    return out.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
-
-
-def find_personal_data(docs: DataFrame, reach: int = 60, threshold: float = 0.9, min_docs: int = 3) -> DataFrame:
+    own = based.where(F.size(every) > 0).withColumn("every", F.array_distinct(every))
+    own = cut_lineage(own.select(_key().alias("doc"), F.array_distinct(F.transform("every", lambda m: F.xxhash64(m["v"]))).alias("entities"),
+                                 _words(_outside(F.col("text"), F.col("every"))).alias("words")))
+    entities = own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n, most = docs.count(), entities.agg(F.max("n_e")).first()[0]
+    # at best an entity stands in all documents of the term: more of them than this leave the share under the threshold
+    p_most = (most or 0) / max(n, 1)
+    limit = (most + PRIOR * p_most) * p_most ** (threshold - 1) - PRIOR if most else 0.0
+    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w")).where("w <> ''")
+    freq = words.groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit * (1 + 1e-9))
+    of_doc = own.select("doc", F.explode("words").alias("w")).where("w <> ''").select("doc", F.xxhash64("w").alias("term"))
+    # repeated rows are documents by themselves: their words come once for each, their entities once
+    sets = own.groupBy("doc").agg(F.first("entities").alias("entities"))
+    met = of_doc.join(freq, "term").join(sets, "doc").select("term", "n_t", F.explode("entities").alias("entity"))
+    pairs = met.groupBy("entity", "term", "n_t").agg(F.count(F.lit(1)).alias("n_et")).join(entities, "entity")
+    p_e = F.col("n_e") / F.lit(float(n))
+    share = F.log((F.col("n_et") + PRIOR * p_e) / (F.col("n_t") + PRIOR) / p_e) / -F.log(p_e)
+    return pairs.select("term", share.alias("disclosure")).where(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _spots(text: Column, terms: Column, base: Column) -> Column:
+    """array<struct<s, e, disclosure>>: every place of ``terms`` (structs term, disclosure) outside the words that touch ``base``."""
+    hashes = F.transform(terms, lambda t: t["term"])
+    found = let(hashes, lambda h: _matches(text, rf"[^{SPACE}]++", lambda v: F.array_contains(h, F.xxhash64(F.lower(v)))))
+    free = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (b["e"] > m["s"])))
+    return let(F.map_from_entries(terms), lambda d: F.transform(free, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.element_at(d, F.xxhash64(F.lower(m["v"]))).alias("disclosure"))))
+
+
+def find_personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """doc_id, text, an array (s, e, v) for each base kind, ``term`` (s, e, disclosure) and ``sanitised``.
 
-    ``sanitised`` has base values generalised to their kind, [EMAIL] and so on, and removes disclosing terms near the entity
-    that they disclose; overlapping spans are merged and take the first one's kind.
+    ``sanitised`` has base values generalised to their kind, [EMAIL] and so on, and removes disclosing terms wherever they
+    stand, in documents without the entity too; overlapping spans are merged and take the first one's kind.
 
-    A null text is empty. A null doc_id is a document like any other. A document is a row; repeated rows count once for the
-    co-occurrence of terms and entities. Further columns of ``docs`` are ignored. An empty table gives an empty result.
+    A null text is empty. A null doc_id is a document like any other. A document is a row, repeated rows are several.
+    Further columns of ``docs`` are ignored. An empty table gives an empty result.
     """
     based = base_spans(docs)
-    near = cut_lineage(contexts(based, reach))
-    found = near.join(disclosing_terms(docs, near, threshold, min_docs), ["entity", "term"])
-    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_set(F.struct("s", "e", "disclosure")).alias("term"))
-    out = based.withColumn("_th", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
-    out = out.select("doc_id", "text", *KINDS[:4], F.coalesce("term", F.array().cast("array<struct<s:int,e:int,disclosure:double>>")).alias("term"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    terms = cut_lineage(disclosing_terms(own, based, threshold))
+    every = own.select(_key().alias("_doc"), F.explode(_words(F.col("text"))).alias("w")).select("_doc", F.xxhash64("w").alias("term"))
+    found = every.join(broadcast_if_small(terms, BROADCAST_TERMS), "term").groupBy("_doc").agg(F.collect_set(F.struct("term", "disclosure")).alias("_terms"))
+    out = based.withColumn("_key", _key()).join(cut_lineage(found), F.col("_key") == F.col("_doc"), "left")
+    none = F.array().cast("array<struct<s:int,e:int,disclosure:double>>")
+    base = F.concat(*[F.col(k) for k in KINDS[:4]])
+    out = out.select("doc_id", "text", *KINDS[:4], F.when(F.col("_terms").isNull(), none).otherwise(let(base, lambda b: _spots(F.col("text"), F.col("_terms"), b))).alias("term"))
     return out.withColumn("sanitised", _sanitised(F.col("text"), all_spans()))
 
 

@@ -129,3 +129,9 @@ def test_op10(spark):
         r = got[doc]
         assert r[:4] == tuple(n[k] for k in brute.PATTERNS) and r[4] == hashlib.sha256(spans.encode()).hexdigest()
         assert set(filter(None, spans.split(","))) <= set(r[5].split(","))
+
+
+def test_op10_terms(spark):
+    """Terms come out on a given table, where hardly any value stands in more than two documents."""
+    spans = [r["spans"].split(",") for r in q.op10_pii(spark, "/root/testdata/sf0.01").collect()]
+    assert sum(x.startswith("term:") for s in spans for x in s) > 0

@@ -99,6 +99,19 @@ def test_disclosing_terms(spark):
     assert all(got[i] == ["zorgon"] for i in range(5)) and not any(got[10 + i] for i in range(40))
 
 
+def _terms(spark, rows):
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: sorted(r["text"][s["s"] : s["e"]] for s in r["term"]) for r in out}, {r["doc_id"]: r["sanitised"] for r in out}
+
+
+def test_terms_of_rare_values(spark):
+    """Values of one and of two documents are given away; words of many documents give nobody away."""
+    rows = [(i, f"the case of nobody is with p{i}@mail.org since then") for i in range(100)]
+    rows += [(200, "the case of zorgon is with z.g@mail.org, (q@x.org) since then"), (201, "a case of Bellat with b@mail.org then"), (202, "bellat is nobody: b@mail.org")]
+    got, _ = _terms(spark, rows)
+    assert got == {**{i: [] for i in range(100)}, 200: ["zorgon"], 201: ["Bellat"], 202: ["bellat"]}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "one two"), (4, "one two"), (5, "nobody has these words anywhere at all")], "item_id long, text string")
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.leaks(docs, bench).collect())
