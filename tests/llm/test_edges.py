@@ -112,6 +112,16 @@ def test_terms_of_rare_values(spark):
     assert got == {**{i: [] for i in range(100)}, 200: ["zorgon"], 201: ["Bellat"], 202: ["bellat"]}
 
 
+def test_terms_anywhere(spark):
+    """A term far from the value, and in a document without it."""
+    pad = "of the case since then " * 30
+    rows = [(i, pad + f"nobody p{i}@mail.org") for i in range(100)]
+    rows += [(200 + i, f"zorgon {pad} z.g@mail.org {pad} zorgon's Zorgon") for i in range(9)] + [(300, f"{pad} zorgon")]
+    got, clean = _terms(spark, rows)
+    assert all(got[200 + i] == ["Zorgon", "zorgon", "zorgon's"] for i in range(9)) and got[300] == ["zorgon"] and not any(got[i] for i in range(100))
+    assert clean[300] == f"{pad} " and "orgon" not in clean[200]
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "one two"), (4, "one two"), (5, "nobody has these words anywhere at all")], "item_id long, text string")
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.leaks(docs, bench).collect())
