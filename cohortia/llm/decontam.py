@@ -171,13 +171,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cut: float = 0.
     columns are ignored. Null and blank texts, on either side, meet nothing. Repeated rows, on either side, give repeated rows of the
     result. Null ids stay null. An empty side gives an empty result.
     """
+    return _found(docs, benchmark, least, cut).drop("text_hash")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: int, cut: float) -> DataFrame:
+    """``leaks`` with a hash of the document's text: an id may be null or have several texts."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    kind, out = f"{LEAKS}, text_hash long", None
     for block in blocks(benchmark, least):
-        part = own.mapInArrow(_search(spark.sparkContext.broadcast(block), least, cut), LEAKS)
+        part = own.mapInArrow(_search(spark.sparkContext.broadcast(block), least, cut), kind)
         out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+    return out if out is not None else spark.createDataFrame([], kind)
 
 
 def _search(sent, least: int, cut: float):
@@ -185,18 +190,23 @@ def _search(sent, least: int, cut: float):
         block, sh = sent.value, Shingler(least)
         for batch in batches:
             rows = []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for d, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 w = sh.word_hashes(text.as_py())
                 if len(w):
-                    rows += [(d, block.items[i][0], c, k, n) for i, c, k, n in hits(w, block, sh, cut)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "coverage", "longest", "n_tiles"])
+                    rows += [(d, block.items[i][0], c, k, n, h) for i, c, k, n in hits(w, block, sh, cut)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "coverage", "longest", "n_tiles", "text_hash"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, cut: float = 0.6) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null doc_id are kept. All columns pass through."""
-    found = leaks(docs, benchmark, least, cut).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, cut: float = 0.6, nulls: bool = False) -> DataFrame:
+    """``docs`` without the rows that hold an item; all columns pass through.
+
+    Rows go by doc_id and text, so another text of the same doc_id stays. Rows with a null doc_id are kept unless ``nulls``.
+    """
+    found = _found(docs, benchmark, least, cut)
+    found = found.select(F.col("doc_id").alias("__leak_doc"), F.col("text_hash").alias("__leak_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_doc")) & (F.xxhash64("text") == F.col("__leak_text"))
+    return docs.join(found if nulls else found.where("__leak_doc is not null"), same, "left_anti").select(docs.columns)

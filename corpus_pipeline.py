@@ -31,15 +31,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near-duplicates: that with the smallest doc_id, a null one only where there is no other.
+
+    Rows are told apart by numbers of their own, since a doc_id may be null or repeat.
+    """
+    rows = cut_lineage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id", F.xxhash64("text").alias("th")), "_row")
+    groups = cut_lineage(groups)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "_row")).alias("m")).select("m._row")
+    gone = groups.join(first, "_row", "left_anti").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), nulls=True)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,6 +156,19 @@ def test_repeated_phrases(spark):
     assert got == pytest.approx({k: c for k, c in want.items() if c >= 0.6}) and all(got[i, i] == 1 for i in range(4))
 
 
+def test_stages_without_ids(spark):
+    """The pipeline's stages on rows whose doc_id is null or repeats."""
+    import corpus_pipeline as c
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    copy, other, lone = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, item), (1, lone), (None, item), (5, copy), (3, copy), (3, copy), (None, copy + " more"), (None, other), (None, other), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert left(c.decontamination(spark, docs, d)) == sorted([r for r in rows if r[1] != item], key=str)
+    assert left(c.near_dedup(spark, docs, d)) == sorted([(1, item), (1, lone), (3, copy), (None, other), (None, None), (7, None)], key=str)
+
+
 def test_classifiers(docs, none):
     train = [(f"good plain words number {i}", 1) for i in range(30)] + [(f"you idiot number {i}", 0) for i in range(30)]
     tox = toxicity.train([(t, 1 - y) for t, y in train])
