@@ -169,6 +169,5 @@ def stream_rollup(spark, d):
 
 @query("stream_event_gate", "SELECT user_id::VARCHAR AS key, event_id AS seq FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM events) WHERE seen >= 3")
 def stream_gate(spark, d):
-    s = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("props").alias("payload"), "event_type")
-    g = runlog.gate_stream(s.withColumn("payload", F.col("event_type")), "payload = 'purchase'", 3)
-    return runlog.drain(g, "gate", scratch(spark, "stream")).select("key", "seq")
+    s = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
+    return runlog.gate_stored(s, "payload = 'purchase'", 3).select("key", "seq")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cohortia.operators.ordered import bucket_edges, running, with_bucket
+
 
 def rollup_stream(log: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Tokens, time and errors per (window, arm). log(ts, arm, input_tokens, output_tokens, exec_time_s, is_error).
@@ -54,6 +56,20 @@ def gate_stream(log: DataFrame, is_event: str, n: int, lateness: str = "2 hours"
     return x.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, seq long, payload string", "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def gate_stored(log: DataFrame, is_event: str, n: int) -> DataFrame:
+    """A whole backfill of the gate over a stored table: no key has to fit a task.
+
+    The columns are those of ``gate_stream``. Rows are counted in sequence order over the whole table, null ones last; rows of one
+    key with equal ``seq`` count together. A null key is a key.
+    """
+    x = log.select("key", "ts", "seq", "payload", F.coalesce(F.expr(is_event).cast("long"), F.lit(0)).alias("_hit"), F.col("key").isNull().alias("_no_key"),
+                   F.coalesce("key", F.lit("")).alias("_key"), F.col("seq").isNull().alias("_no_seq"))
+    edges = bucket_edges(x, "seq")
+    x = with_bucket(x, "seq", edges).withColumn("_b", F.when(F.col("_no_seq"), len(edges) + 1).otherwise(F.col("_b")))
+    seen = running(x, ["_no_key", "_key"], ["_no_seq", "seq"], {"_seen": ("sum", "_hit")})
+    return seen.where(F.col("_seen") >= n).select("key", "ts", "seq", "payload")
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into files and return them as a table (backfills and tests)."""
     path = f"{checkpoint}/{name}/out"

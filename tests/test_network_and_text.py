@@ -145,6 +145,20 @@ def test_stream_gate_sorts_a_key_over_several_arrow_batches(spark, tmp_path):
     assert sorted(r["seq"] for r in got.collect()) == list(range(39_990, 40_001))
 
 
+def test_stored_gate_deals_a_hot_key_over_buckets(spark, tmp_path, monkeypatch):
+    """A key with all rows, a null key and null sequence numbers; the query takes this route and no stream."""
+    rows = [("k", (i * 7919) % 5000, "x" if i % 3 else "y") for i in range(5000)] + [(None, i, "x") for i in range(4)] + [("s", None, "x"), ("s", 1, "x"), ("s", 2, "y")]
+    df = spark.createDataFrame(rows, "key string, seq long, payload string").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    df.repartition(7).write.parquet(str(tmp_path / "log"))
+    got = {(r["key"], r["seq"]) for r in runlog.gate_stored(spark.read.parquet(str(tmp_path / "log")), "payload = 'x'", 2).collect()}
+    k = sorted((s, p) for key, s, p in rows if key == "k")
+    second = [s for s, p in k if p == "x"][1]
+    assert got == {("k", s) for s, _ in k if s >= second} | {(None, i) for i in range(1, 4)} | {("s", None)}
+    monkeypatch.delattr(runlog, "gate_stream")
+    from __spark_entry__ import queries
+    assert queries()["stream_event_gate"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_backfill_keeps_the_open_windows(spark, tmp_path):
     src = tmp_path / "in"
     rows = spark.createDataFrame([(f"2024-01-01 {t}:00", "a", 1, 2, 0.5, False) for t in ("00:10", "06:00", "06:30", "07:00")],
