@@ -13,19 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.llm.common import mix, stream
 from cohortia.llm.components import components
 from cohortia.llm.shingles import Shingler
-from cohortia.session import cut_lineage
+from cohortia.session import broadcast_if_small, cut_lineage
 
 _LOW, _S32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 #: Elements whose permutations are held at once.
 CHUNK = 150_000
 
+#: Pairs of a hub in one salt, turns in which components meet by single members, and cells in which shingles are counted (as a power of two).
+#: None of them changes a result.
+HUB_PAIRS, HUB_TURNS, DF_BITS = 256, 1, 18
+
 
 def super_min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Signatures (documents x m, uint64) of sets of 64-bit hashes; the row of an empty set keeps the largest value.
@@ -120,10 +124,85 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; ``a`` may be a hub of many pairs.
+
+    The pairs of a hub are dealt over one salt for each ``HUB_PAIRS`` of them, and its set is sent to each salt.
+    """
+    pairs = cut_lineage(pairs)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
+    many = cut_lineage(hubs.where("salts > 1"))
+    pairs = pairs.join(broadcast_if_small(many, 10_000), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
+    left = hubs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    met = pairs.select("a", "b", "salt").join(right, "b").join(left, ["a", "salt"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return met.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
+def _close(x: str, y: str, percent: int) -> Column:
+    """Whether sets of these sizes can be as similar as that."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``members`` with ``c``, the component of a document."""
+    return members.join(comp, members["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "n", "pop", F.coalesce("root", "doc_id").alias("c"))
+
+
+def hub_pairs(members: DataFrame, comp: DataFrame, turn: int, percent: int) -> DataFrame:
+    """A pair (a, b) for each component that meets a larger one in a bucket: the best known member of both, or from the second turn on one that is drawn."""
+    draw = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("pop")).alias("u"), "doc_id", "n")
+    parts = cut_lineage(_labelled(members, comp).groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("many"), F.min(draw).alias("one")))
+    top = parts.groupBy("band", "key").agg(F.max(F.struct("many", "c", "one")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", "top")
+    met = parts.join(top, ["band", "key"]).where(F.col("c") != F.col("top.c")).select("c", F.col("one.doc_id").alias("b"), F.col("one.n").alias("n"), F.col("top.one.doc_id").alias("a"), F.col("top.one.n").alias("na"), F.xxhash64("band", "key", F.lit(turn)).alias("u"))
+    return met.where(_close("n", "na", percent)).groupBy("c").agg(F.min(F.struct("u", "a", "b")).alias("x")).select("x.a", "x.b")
+
+
+def prefix_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of documents of different components, in buckets with several, that can be linked: exact prefix filter.
+
+    In one order of all shingles, rare ones first, a set x and a set y that is as large or larger can only be linked if one of the first
+    |x| - ceil(2t / (1 + t) |x|) + 1 shingles of x is among the first |y| - ceil(t |y|) + 1 of y. Documents that have no more than a
+    template in common differ in their rare shingles and don't meet. Rarity is counted in 2^DF_BITS cells of the hash range,
+    which come to the driver; any order gives the same links.
+    """
+    now = _labelled(members, comp)
+    open_ = now.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
+    docs = now.join(open_, ["band", "key"], "left_semi").groupBy("doc_id").agg(F.min("c").alias("c"))
+    rest = cut_lineage(docs.join(sets, "doc_id").select("doc_id", "c", "s"))
+    shift = np.uint64(64 - DF_BITS)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << DF_BITS, np.int64)
+        for batch in batches:
+            n += np.bincount((batch.column(0).flatten().to_numpy().view(np.uint64) >> shift).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    counted = rest.select("s").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << DF_BITS, np.int64)
+    common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    often = rest.sparkSession.sparkContext.broadcast(common)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = s.values.to_numpy()
+                n = len(x)
+                probe, index = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                x = x[np.lexsort((x, often.value[(x.view(np.uint64) >> shift).astype(np.int64)]))[:probe]]
+                out.append((x, np.full(len(x), d), np.full(len(x), c), np.full(len(x), n), np.arange(len(x)), np.arange(len(x)) < index))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["token", "doc_id", "c", "n", "i", "own"])
+
+    pre = cut_lineage(rest.mapInArrow(first, "token long, doc_id long, c long, n long, i long, own boolean"))
+    shared = pre.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any")).where("lo <> hi and any").select("token")
+    pre = pre.join(shared, "token", "left_semi")
+    left = pre.where("own").select("token", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    # from the first shared one on, what is left of both must still make up the overlap that a link needs
+    enough = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i")) >= percent * (F.col("n") + F.col("na"))
+    met = pre.join(left, "token").where((F.col("c") != F.col("ca")) & _close("n", "na", percent) & (F.struct("na", "a") < F.struct("n", "doc_id")) & enough)
+    return met.select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -134,10 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     * Equal sets are one class with one representative; a class of any size costs one partial aggregation.
     * Candidates share a band. With 40 bands of 5 positions a pair at similarity 0.8 shares none with probability 1.2e-7.
-    * A bucket never emits all of its pairs. First every member meets the bucket's smallest member. A bucket whose members
-      are still in several components goes on with blocks of 16, 256, ... random members as hubs, and only members
-      outside a hub's component meet it; the last block is the whole bucket, so no candidate pair across components
-      stays unverified.
+    * A bucket never emits all of its pairs. First every document meets one document, that of its buckets which meets most others.
+      Then, for some turns, every component meets one larger component of a bucket, by one member of each. What is still in buckets with
+      several components goes through an exact prefix filter, so no candidate pair across components stays unverified.
 
     Null or blank texts have the empty set and are linked with nothing. A row with a null doc_id keeps a null
     component and is kept. Rows that repeat a doc_id are one document; if their texts differ, their links join.
@@ -147,38 +225,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = whole.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     every = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
-    hubs = every.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut_lineage(every.join(hubs, ["band", "key"]))
-    wanted = members.select("doc_id").distinct()
+    size = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut_lineage(every.join(size, ["band", "key"]))
+    # how many documents a document meets: in a group of near copies, the one that the others come from meets most
+    known = cut_lineage(members.groupBy("doc_id").agg((-F.sum("size")).alias("pop")))
+    members = cut_lineage(members.join(known, "doc_id").select("band", "key", "doc_id", "n", "pop"))
+    wanted = known.select("doc_id")
     sets = cut_lineage(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), words))
 
-    def close(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    first = members.join(reps.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub")
-    pairs = first.where("hub <> doc_id").where(close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, sets, percent))
-    comp = components(links)
-    done, block = 0, 16
-    while True:
-        # members of buckets that hold several components and pairs not yet looked at
-        size = members.agg(F.max("size")).first()[0] or 0
-        if done >= size:
-            break
-        now = members.join(comp, members["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("c"))
-        many = now.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-        now = now.join(many, ["band", "key"], "left_semi").where(F.col("size") > done)
-        # a random order inside each bucket; the first `block` of `size` places in it are this round's hubs
-        u = (F.xxhash64("doc_id", "band", "key").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-        now = cut_lineage(now.withColumn("u", u * F.col("size")))
-        hub = now.where((F.col("u") >= done) & (F.col("u") < block)).select("band", "key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("u").alias("ua"))
-        met = now.join(hub, ["band", "key"]).where((F.col("u") >= F.col("ua")) & (F.col("ca") != F.col("c")) & close("n", "na"))
-        pairs = met.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    hubs = members.groupBy("band", "key").agg(F.min(F.struct("pop", "doc_id", "n")).alias("hub"))
+    first = members.join(hubs, ["band", "key"]).where(F.col("hub.doc_id") != F.col("doc_id")).where(_close("n", "hub.n", percent))
+    first = first.groupBy("doc_id").agg(F.min("hub").alias("hub")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    comp = components(cut_lineage(verified(first, sets, percent)))
+
+    def joined(pairs: DataFrame) -> DataFrame | None:
         new = cut_lineage(verified(pairs, sets, percent))
-        if not new.isEmpty():
-            links = links.union(new)
-            comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
-        done, block = block, block * 16
+        return None if new.isEmpty() else components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+
+    for turn in range(HUB_TURNS):
+        more = joined(hub_pairs(members, comp, turn, percent))
+        if more is None:
+            break
+        comp = more
+    comp = joined(prefix_pairs(members, comp, sets, percent)) or comp
     moved = classes.join(comp, classes["rep"] == comp["node"], "left").where("copies > 1 or root is not null").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(moved, ["h1", "h2"], "left")
     comp_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))

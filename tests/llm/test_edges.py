@@ -47,6 +47,25 @@ def test_chain_in_one_bucket(spark):
     assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 4).items()}
 
 
+def test_groups_near_the_threshold(spark):
+    """Near copies of one text, some over and some under the threshold, beside documents of a template that are never linked."""
+    base, form = [f"w{i}" for i in range(150)], [f"t{i}" for i in range(110)]
+    rows = [(i, " ".join(w if (i * 37 + k * 11) % 97 >= i % 5 else f"c{i}_{k}" for k, w in enumerate(base))) for i in range(250)]
+    rows += [(1000 + i, " ".join([*form, *[f"own{i}_{k}" for k in range(30)]])) for i in range(250)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    want = {d: c for d, (_, c) in brute.near_duplicates(rows, 4).items()}
+    assert got == want and len(set(want.values())) > 250 and len({want[i] for i in range(250)}) < 200
+
+
+def test_prefix_filter_alone(spark, monkeypatch):
+    """The exact filter finds every link that the turns before it would."""
+    monkeypatch.setattr(minhash, "HUB_TURNS", 0)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([f"e{i}_{k}" if k < 2 else w for k, w in enumerate(base[: 120 - i % 25])])) for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 4).items()}
+
+
 def test_lines(docs, none):
     out = linededup.dedup_lines(docs)
     assert set(out.columns) == {*docs.columns, "n_lines", "n_dropped", "kept_text"}
