@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from cohortia.session import broadcast_if_small
+from cohortia.functions.patterns import occurring, replaced
+from cohortia.session import cut_lineage
 
 
 def normalise_name(c: Column) -> Column:
@@ -37,49 +34,41 @@ def snippet(c: Column, pattern: str, context: int = 60) -> Column:
     return F.when(c.rlike(f"(?is){pattern}"), F.trim(F.regexp_replace(got, r"\s+", " ")))
 
 
-def replace_tokens(df: DataFrame, key: str, text: str, mapping: DataFrame, pattern: str, token: str, real: str) -> DataFrame:
-    """Replace every token that matches ``pattern`` by its mapped name; unknown tokens stay.
+def replace_tokens(df: DataFrame, key: str, text: str, mapping: DataFrame, pattern: str | None, token: str, real: str) -> DataFrame:
+    """Replace every token that is a match of ``pattern`` (Python's syntax) by its mapped name; unknown tokens stay.
 
-    Texts are cut into (position, piece) rows around the tokens, pieces that are tokens are joined with the map, and
-    each text is put together again in order.
+    Rows are rewritten where they are, by an automaton over the map (``patterns.replaced``), so ``key`` may be null or repeated.
     """
-    parts = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s)({pattern}|.+?(?={pattern}|$))"), F.lit(1))).alias("pos", "piece"))
-    m = mapping.select(F.col(token).alias("piece"), F.col(real).alias("_real"))
-    j = parts.join(m, "piece", "left").withColumn("piece", F.coalesce("_real", "piece"))
-    done = j.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("_t"))
-    return df.join(done, key, "left").withColumn(text, F.coalesce("_t", text)).drop("_t")
+    return replaced(df, text, mapping, token, real, pattern)
 
 
 def contained_in(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str) -> DataFrame:
-    """(item, doc) pairs where the item text occurs inside the document text, exactly.
+    """Distinct (item, doc) pairs where the item text occurs inside the document text, exactly.
 
-    The inner words of a contained text are whole words of the document, so each item is filed under its longest inner
-    word and meets only documents that have this word: an equi-join instead of an item x document product. Candidates
-    are then verified on the whole texts. Items without an inner word are names of one or two words; they are matched
-    by a plain containment join.
+    Whole documents stream past automata over the distinct item texts; equal item texts are looked for once. Null and empty
+    texts on either side give no pair.
     """
-    it = items.select(F.col(item_key), F.col("text").alias("_item")).where("_item <> ''").withColumn("_w", F.split("_item", r"\s+"))
-    inner = F.slice(F.col("_w"), 2, F.greatest(F.size("_w") - 2, F.lit(1)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g")))), 1)["g"]
-    heads = it.where(F.size("_w") > 2).select(item_key, "_item", longest.alias("_g"))
-    d = docs.select(doc_key, F.col("text").alias("_doc"))
-    words = d.select(doc_key, F.explode(F.split("_doc", r"\s+")).alias("_g"))
-    cand = words.join(broadcast_if_small(heads.select(item_key, "_g")), "_g").select(item_key, doc_key).distinct()
-    long = cand.join(heads.select(item_key, "_item"), item_key).join(d, doc_key).where(
-        F.col("_doc").contains(F.col("_item"))).select(item_key, doc_key)
-    short = it.where(F.size("_w") <= 2).select(item_key, "_item")
-    names = d.join(broadcast_if_small(short), F.col("_doc").contains(F.col("_item"))).select(item_key, doc_key)
-    return long.union(names)
+    it = items.select(F.col(item_key), F.col("text").alias("_item")).where("_item <> ''")
+    hit = occurring(docs, doc_key, "text", it, "_item")
+    return hit.join(it, "_item").select(item_key, doc_key).distinct()
 
 
 def matched_names(names: DataFrame, catalogue: DataFrame, name: str = "name", set_name: str = "set_name") -> DataFrame:
     """Submitted names matched to catalogue names by containment in either direction, raw or with blanks as underscores.
 
-    Both sides are name lists (not samples); the shorter list is broadcast after a size check. The first match in
+    Raw containment implies containment of the underscored forms, so these decide alone: each list in turn is the patterns
+    that the other one streams past. An empty name is contained in every name; null names match nothing. The first match in
     ``set_name`` order wins.
     """
-    a = names.select(name).distinct().withColumn("_u", F.upper(F.trim(name))).withColumn("_n", normalise_name(F.col(name)))
-    b = catalogue.select(set_name).distinct().withColumn("_c", F.upper(F.trim(set_name))).withColumn("_cn", normalise_name(F.col(set_name)))
-    hit = (F.col("_c").contains(F.col("_u")) | F.col("_u").contains(F.col("_c"))
-           | F.col("_cn").contains(F.col("_n")) | F.col("_n").contains(F.col("_cn")))
-    return a.join(broadcast_if_small(b), hit).groupBy(name).agg(F.min(set_name).alias(set_name))
+    a = names.select(F.col(name).alias("_a"), normalise_name(F.col(name)).alias("_n")).where("_a IS NOT NULL").distinct()
+    b = catalogue.select(F.col(set_name).alias("_b"), normalise_name(F.col(set_name)).alias("_c")).where("_b IS NOT NULL").distinct()
+    # equal forms meet once, under the smallest name of the catalogue
+    a, b = cut_lineage(a), cut_lineage(b.groupBy("_c").agg(F.min("_b").alias("_b")))
+    n = a.select("_n").distinct()
+    inside = occurring(b, "_c", "_c", n, "_n").select("_n", "_c")
+    around = occurring(n, "_n", "_n", b.select(F.col("_c").alias("_p")), "_p").select("_n", F.col("_p").alias("_c"))
+    best = inside.union(around).join(b, "_c").groupBy("_n").agg(F.min("_b").alias("_b"))
+    blank = b.agg(F.min("_b").alias("_any"), F.min(F.when(F.col("_c") == "", F.col("_b"))).alias("_empty"))
+    got = a.join(best, "_n", "left").join(F.broadcast(blank), F.lit(True))
+    first = F.when(F.col("_n") == "", F.col("_any")).otherwise(F.least("_b", "_empty"))
+    return got.select(F.col("_a").alias(name), first.alias(set_name)).where(F.col(set_name).isNotNull())

@@ -6,10 +6,14 @@ An episode may be arbitrarily long, so numbering and look-back use the bucketed
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortia.operators.ordered import running_by
 from cohortia.session import cut_lineage
@@ -194,33 +198,69 @@ def count_leak(texts: DataFrame, cohorts: DataFrame, window: int = 120) -> DataF
     return texts.join(cohorts, "cohort").where(F.rlike("text", near)).select("episode", "cohort", "text")
 
 
+# fixed values: kinds of the audit, and the expressions of its constant parts
+PATH_CHARS = r"[\w/\\.+-]*"
+MISLEAD = r"\bmislead\b"
+
+
+@lru_cache(maxsize=4096)
+def _compiled(rx: str) -> re.Pattern:
+    return re.compile(rx, re.IGNORECASE)
+
+
+def _audit_rules(text: str, author: str, label: str, arm: str, cohort: str, planted: str, seed: str, true: str, plant: str) -> Iterator[tuple[str, str]]:
+    """(kind, expression) of the rules that can hold for a text; literals that it lacks rule an expression out unmatched."""
+    low, q = text.lower(), re.escape
+    has = [t for t in (arm, cohort, planted, seed) if t is not None and t.lower() in low]
+    if label is not None and label.lower() in low:
+        yield "EPISODE LABEL", q(label)
+    if has and "results" in low:
+        yield "IDENTITY-BEARING PATH", rf"results[/\\]{PATH_CHARS}(?:{'|'.join(map(q, has))}){PATH_CHARS}"
+    if "mislead" in low:
+        yield "MISLEAD KEYWORD", MISLEAD
+    if arm in has:
+        yield "ARM TOKEN", f"(?:^|[^a-z0-9]){q(arm)}(?:$|[^a-z0-9])"
+        if seed in has:
+            yield "ARM+SEED", rf"{q(arm)}\W{{0,3}}\w*\W{{0,3}}{q(seed)}"
+    if author == "harness" and arm is not None:
+        if true is not None and arm != "g0":
+            yield "TRUE COHORT", true
+        if plant is not None and not arm.startswith("g3"):
+            yield "PLANTED COHORT", plant
+
+
 def blinding_audit(texts: DataFrame, labels: DataFrame, synonyms: DataFrame, context: int = 60) -> DataFrame:
     """Identity tokens that reached the analyst. First hit per (episode, kind) with context.
 
     texts(episode, msg_ix, author: harness|echoed, text); labels(episode, label, arm, cohort, planted, seed);
     synonyms(cohort, pattern). Plumbing tokens count for both authors; cohort names only where the harness wrote them,
     and not in the arm whose definition is to disclose them (g0: true cohort; g3*: planted cohort).
+
+    Texts meet the labels of their own episode by an equi-join and pass once; an expression is compiled once for a worker, and
+    only tried on texts that hold its literals. Null texts and null labels give no hit.
     """
-    def q(c):
-        return F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
     true_p = synonyms.select("cohort", F.col("pattern").alias("_true"))
     plant_p = synonyms.select(F.col("cohort").alias("planted"), F.col("pattern").alias("_planted"))
     lab = labels.join(true_p, "cohort", "left").join(plant_p, "planted", "left")
-    j = texts.join(lab, "episode")
-    ident = F.concat_ws("|", q("arm"), q("cohort"), F.when(F.col("planted").isNotNull(), q("planted")), F.when(F.col("seed").isNotNull(), q("seed")))
-    rules = [
-        ("EPISODE LABEL", q("label"), F.lit(True)),
-        ("IDENTITY-BEARING PATH", F.concat(F.lit(r"results[/\\][\w/\\.+-]*(?:"), ident, F.lit(r")[\w/\\.+-]*")), F.lit(True)),
-        ("MISLEAD KEYWORD", F.lit(r"\bmislead\b"), F.lit(True)),
-        ("ARM TOKEN", F.concat(F.lit("(?:^|[^a-z0-9])"), q("arm"), F.lit("(?:$|[^a-z0-9])")), F.col("arm").isNotNull()),
-        ("ARM+SEED", F.concat(q("arm"), F.lit(r"\W{0,3}\w*\W{0,3}"), q("seed")), F.col("seed").isNotNull()),
-        ("TRUE COHORT", F.col("_true"), (F.col("author") == "harness") & (F.col("arm") != "g0")),
-        ("PLANTED COHORT", F.col("_planted"), (F.col("author") == "harness") & ~F.col("arm").startswith("g3")),
-    ]
-    recs = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(ok, F.concat(F.lit("(?i)"), p)).alias("rx")) for k, p, ok in rules])
-    x = j.select("episode", "msg_ix", "text", F.inline(recs)).where(F.col("rx").isNotNull() & F.rlike("text", F.col("rx")))
-    ctx = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"([\\s\\S]{{0,{context}}}"), F.col("rx"), F.lit(f"[\\s\\S]{{0,{context}}})")), F.lit(1))
-    return x.withColumn("snippet", F.trim(F.regexp_replace(ctx, r"\s+", " "))).groupBy("episode", "kind").agg(
+    facts = ["text", "author", "label", "arm", "cohort", "planted", "seed", "_true", "_planted"]
+    j = texts.join(lab, "episode").where("text IS NOT NULL").select("episode", "msg_ix", *[F.col(c).cast("string") for c in facts])
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kinds, snippets = [], [], []
+            for i, row in enumerate(zip(*(b.column(c + 2).to_pylist() for c in range(len(facts))))):
+                for kind, rx in _audit_rules(*row):
+                    m = _compiled(rx).search(row[0])
+                    if m:
+                        at.append(i)
+                        kinds.append(kind)
+                        snippets.append(" ".join(row[0][max(0, m.start() - context):m.end() + context].split()))
+            ix = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(kinds, pa.string()), pa.array(snippets, pa.string())],
+                                             names=["episode", "msg_ix", "kind", "snippet"])
+
+    schema = T.StructType([*j.select("episode", "msg_ix").schema.fields, T.StructField("kind", T.StringType()), T.StructField("snippet", T.StringType())])
+    return j.mapInArrow(hits, schema).groupBy("episode", "kind").agg(
         F.min_by("snippet", F.struct("msg_ix", "snippet")).alias("snippet"), F.count(F.lit(1)).alias("n_hits"))
 
 

@@ -152,25 +152,38 @@ def leak(spark, d):
 
 
 def _audit(spark, d):
+    """Every seventh first message carries one of five planted tokens, so that each rule of the audit has hits and misses."""
     c = table(spark, d, "conversations")
+    n = F.col("episode")
+    arm = F.element_at(F.array(*[F.lit(a) for a in ("g0", "g2", "g3a")]), (n % 3 + 1).cast("int"))
+    coh = F.element_at(F.array(*[F.lit(a) for a in ("tion", "und")]), (n % 2 + 1).cast("int"))
+    lab = c.select(F.col("conv_id").alias("episode")).distinct().select(
+        "episode", arm.alias("arm"), coh.alias("cohort"), F.when(n % 5 < 2, "the").alias("planted"), F.lit("s42").alias("seed"), F.concat_ws("_", arm, coh, F.lit("s42")).alias("label"))
+    tail = F.element_at(F.array(F.concat_ws("_", arm, coh, F.lit("s42")), F.concat(F.lit("results/"), arm, F.lit("/out.csv")), F.lit("told to Mislead."),
+                                F.concat(F.lit("("), F.upper(arm), F.lit(")")), F.concat(arm, F.lit("-s42")), F.lit("misleading"), F.lit("results/g9")), (n % 7 + 1).cast("int"))
     t = c.where("role <> 'assistant'").select(F.col("conv_id").alias("episode"), F.col("turn").alias("msg_ix"), F.when(F.col("turn") == 0, "harness").otherwise("echoed").alias("author"), "text")
-    e = c.select(F.col("conv_id").alias("episode")).distinct()
-    arm = F.element_at(F.array(*[F.lit(a) for a in ("g0", "g2", "g3a")]), (F.col("episode") % 3 + 1).cast("int"))
-    coh = F.element_at(F.array(*[F.lit(a) for a in ("tion", "und")]), (F.col("episode") % 2 + 1).cast("int"))
-    lab = e.select("episode", arm.alias("arm"), coh.alias("cohort"), F.when(F.col("episode") % 3 == 2, "the").alias("planted"), F.lit("s42").alias("seed"), F.concat_ws("_", arm, coh, F.lit("s42")).alias("label"))
+    t = t.withColumn("text", F.when(F.col("msg_ix") == 0, F.concat_ws(" ", "text", tail)).otherwise(F.col("text")))
     syn = spark.createDataFrame([("tion", "tion[a-z]"), ("und", "\\bund\\b"), ("the", "\\bthe\\b")], "cohort string, pattern string")
     return t, lab, syn
 
 
-_AUDIT = """t AS (SELECT conv_id AS episode, turn AS msg_ix, turn = 0 AS harness, text, ['g0', 'g2', 'g3a'][conv_id % 3 + 1] AS arm, ['tion[a-z]', '\\bund\\b'][conv_id % 2 + 1] AS rx FROM conversations WHERE role <> 'assistant'),
-h AS (SELECT episode, 'TRUE COHORT' AS kind, count(*) AS n_hits FROM t WHERE harness AND arm <> 'g0' AND regexp_matches(text, '(?i)' || rx) GROUP BY 1
- UNION ALL SELECT episode, 'ARM TOKEN', count(*) FROM t WHERE regexp_matches(text, '(?i)(?:^|[^a-z0-9])' || arm || '(?:$|[^a-z0-9])') GROUP BY 1
- UNION ALL SELECT episode, 'MISLEAD KEYWORD', count(*) FROM t WHERE regexp_matches(text, '(?i)\\bmislead\\b') GROUP BY 1)"""
+_AUDIT = r"""l AS (SELECT conv_id AS episode, turn AS msg_ix, turn = 0 AS harness, text AS body, ['g0', 'g2', 'g3a'][conv_id % 3 + 1] AS arm, ['tion', 'und'][conv_id % 2 + 1] AS coh, ['tion[a-z]', '\bund\b'][conv_id % 2 + 1] AS rx,
+  CASE WHEN conv_id % 5 < 2 THEN 'the' END AS planted FROM conversations WHERE role <> 'assistant'),
+t AS (SELECT *, CASE WHEN msg_ix = 0 THEN concat_ws(' ', body, [arm || '_' || coh || '_s42', 'results/' || arm || '/out.csv', 'told to Mislead.', '(' || upper(arm) || ')', arm || '-s42', 'misleading', 'results/g9'][episode % 7 + 1]) ELSE body END AS text FROM l),
+k AS (SELECT episode, msg_ix, text, unnest([{'kind': 'EPISODE LABEL', 'rx': arm || '_' || coh || '_s42', 'ok': true},
+  {'kind': 'IDENTITY-BEARING PATH', 'rx': 'results[/\][\w/\.+-]*(?:' || concat_ws('|', arm, coh, planted, 's42') || ')[\w/\.+-]*', 'ok': true},
+  {'kind': 'MISLEAD KEYWORD', 'rx': '\bmislead\b', 'ok': true},
+  {'kind': 'ARM TOKEN', 'rx': '(?:^|[^a-z0-9])' || arm || '(?:$|[^a-z0-9])', 'ok': true},
+  {'kind': 'ARM+SEED', 'rx': arm || '\W{0,3}\w*\W{0,3}s42', 'ok': true},
+  {'kind': 'TRUE COHORT', 'rx': rx, 'ok': harness AND arm <> 'g0'},
+  {'kind': 'PLANTED COHORT', 'rx': CASE WHEN planted IS NOT NULL THEN '\bthe\b' END, 'ok': harness AND arm NOT LIKE 'g3%'}], recursive := true) FROM t),
+m AS (SELECT episode, kind, msg_ix, text, regexp_extract(text, '(?is)^(.*?)(?:' || rx || ')', 1) AS pre, regexp_extract(text, '(?i)' || rx) AS hit FROM k WHERE ok AND rx IS NOT NULL AND regexp_matches(text, '(?i)' || rx)),
+h AS (SELECT episode, kind, arg_min(trim(regexp_replace(substr(text, greatest(length(pre) - 60, 0) + 1, least(length(pre), 60) + length(hit) + 60), '\s+', ' ', 'g')), msg_ix) AS snippet, count(*) AS n_hits FROM m GROUP BY 1, 2)"""
 
 
 @query("blinding_audit", with_sql(_AUDIT, body="SELECT * FROM h"))
 def audit(spark, d):
-    return tr.blinding_audit(*_audit(spark, d)).drop("snippet")
+    return tr.blinding_audit(*_audit(spark, d))
 
 
 @query("blinding_audit_verdict", with_sql(_AUDIT, body="SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS n_episodes, count(DISTINCT episode) AS n_leaking, count(DISTINCT episode) = 0 AS passed FROM h"))
@@ -192,11 +205,11 @@ def snip(spark, d):
     return t.where("snippet IS NOT NULL")
 
 
-@query("replace_tokens", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', 'GENE_THE', 'g'), '\\band\\b', 'GENE_AND', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("replace_tokens", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', 'GENE_THE', 'g'), '\\band\\b', 'GENE_AND', 'g') AS text FROM documents")
 def replace(spark, d):
     m = spark.createDataFrame([("the", "GENE_THE"), ("and", "GENE_AND")], "token string, real string")
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return tx.replace_tokens(t, "doc_id", "text", m, r"\b(?:the|and|with)\b", "token", "real")
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return tx.replace_tokens(t, "doc_id", "text", m, r"(?a)\b(?:the|and|with)\b", "token", "real")
 
 
 @query("parse_json_reply", "SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events")
