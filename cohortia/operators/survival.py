@@ -314,6 +314,9 @@ def survival_replication(expr: DataFrame, surv: DataFrame, ext_expr: DataFrame,
 
     Directions are inferred in the first cohort; candidate and control signatures are scored in the second and share
     one batched Cox. A wrong direction is a gate (score 0), not one of several additive parts.
+
+    The row is there whatever the cohorts hold: with fewer than 20 samples, fewer than two genes or no fit the score is 0, the
+    figures of the fit and the verdict are null, and ``reason`` says why (null otherwise).
     """
     spark = expr.sparkSession
     dirs = directions(expr.join(genes, "feature", "left_semi"), surv)
@@ -329,13 +332,25 @@ def survival_replication(expr: DataFrame, surv: DataFrame, ext_expr: DataFrame,
     power = fit.where("signature <> 'candidate'").agg(F.count(F.when(ctl_ok, 1)).alias("n_controls_passing"))
     used = x.where("signature = 'candidate'").select("feature", "direction").distinct().agg(
         F.count(F.when(F.col("direction") > 0, 1)).alias("n_protective"), F.count(F.when(F.col("direction") < 0, 1)).alias("n_risk"))
-    c = fit.where("signature = 'candidate'").join(F.broadcast(power), on=F.lit(True)).join(F.broadcast(used), on=F.lit(True))
-    right = F.col("hr") < 1
+    common = ext_expr.select("sample_id").distinct().join(ext_surv.select("sample_id"), "sample_id", "left_semi").agg(F.count(F.lit(1)).alias("_common"))
+    # one row of counts that no join can empty; the candidate's fit is attached to it
+    base = common.join(F.broadcast(used), on=F.lit(True)).join(F.broadcast(power), on=F.lit(True)).withColumn("signature", F.lit("candidate"))
+    c = base.join(fit.select("signature", "n", "events", "coef", "hr", "p"), "signature", "left")
+    genes_used = F.col("n_protective") + F.col("n_risk")
+    # fixed values: at least 20 samples and two genes
+    reason = (F.when(F.col("_common") < 20, F.concat(F.lit("only "), F.col("_common"), F.lit(" samples with expression and survival")))
+              .when(genes_used < 2, F.concat(F.lit("only "), genes_used, F.lit(" genes with a direction and external expression")))
+              .when(F.col("hr").isNull(), F.lit("Cox fit failed on the signature")))
+    c = cut_lineage(c.withColumn("reason", reason))
+    ok = F.col("reason").isNull()
+    right = ok & (F.col("hr") < 1)
     sig = F.when(right, F.least(-F.log10(F.greatest("p", F.lit(1e-12))) / 4.0, F.lit(1.0))).otherwise(0.0)
     mag = F.when(right, F.least(F.abs(F.col("coef")) / F.log(F.lit(2.0)), F.lit(1.0))).otherwise(0.0)
+    # fixed values: names and thresholds of the verdict
     verdict = (F.when(F.col("n_controls_passing") < 1, "underpowered_cohort_inconclusive").when(~right, "genuine_non_replication")
                .when((F.col("p") < 0.05) & (F.abs("coef") > F.log(F.lit(1.5))), "replicates")
                .when(F.col("p") < 0.05, "weak_replication").otherwise("uninformative"))
-    return c.select("n", "events", "n_protective", "n_risk", "hr", "p", right.alias("direction_ok"), sig.alias("significance"),
+    fitted = [F.when(ok, F.col(x)).alias(x) for x in ("n", "events", "hr", "p")]
+    return c.select(*fitted, "n_protective", "n_risk", F.when(ok, right).alias("direction_ok"), sig.alias("significance"),
                     mag.alias("magnitude"), F.when(right, (sig + mag) / 2.0).otherwise(0.0).alias("score"),
-                    "n_controls_passing", verdict.alias("verdict"))
+                    "n_controls_passing", F.when(ok, verdict).alias("verdict"), "reason")

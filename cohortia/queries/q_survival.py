@@ -251,6 +251,15 @@ def replication(spark, d):
     return rounded(sv.survival_replication(*_two_cohorts(spark, d), genes, ctl))
 
 
+@query("survival_replication_below_guard", """SELECT 0.0::DOUBLE AS score, NULL::VARCHAR AS verdict, 0::BIGINT AS n_protective, 0::BIGINT AS n_risk,
+ CASE WHEN (SELECT count(*) FROM part p JOIN part q ON p.p_type = q.p_brand) = 0 THEN 'only 0 genes with a direction and external expression' END AS reason""")
+def replication_below_guard(spark, d):
+    """Submitted names that no cohort has measured: the report is there, with score 0 and the reason."""
+    genes = table(spark, d, "part").select(F.col("p_type").alias("feature")).distinct()
+    ctl = [("first", ["Brand#1", "Brand#2"], "prot")]
+    return sv.survival_replication(*_two_cohorts(spark, d), genes, ctl).select("score", "verdict", "n_protective", "n_risk", "reason")
+
+
 @query("quantile_summary", with_sql(COUNTS, body="SELECT feature, count(*) AS n, " + ", ".join(
     f"{r(f'quantile_cont(value, {p})')} AS p{int(p * 100)}" for p in (0.05, 0.1, 0.5, 0.9, 0.95)) + f", {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS sd FROM counts GROUP BY 1"))
 def quantile_summary(spark, d):

@@ -128,6 +128,11 @@ def test_signature_and_replication(spark):
     genes = e.select("feature").distinct()
     r = sv.survival_replication(e.where(a), s.where(a), e.where(b), s.where(b), genes, [("c", ["G0"], "adv")]).first()
     assert r["n_risk"] == 3 and r["direction_ok"] and r["hr"] < 1 and r["verdict"] == "replicates" and 0 < r["score"] <= 1
+    assert r["reason"] is None
+    few = sv.survival_replication(e.where(a), s.where(a), e.where(b), s.where("sample_id >= 150"), genes, [("c", ["G0"], "adv")]).collect()
+    assert [(x["score"], x["verdict"], x["hr"], x["reason"]) for x in few] == [(0.0, None, None, "only 10 samples with expression and survival")]
+    one = sv.survival_replication(e.where(a), s.where(a), e.where(b), s.where(b), genes.where("feature = 'G1'"), [("c", ["G0"], "adv")]).collect()
+    assert [(x["score"], x["n_risk"], x["reason"]) for x in one] == [(0.0, 1, "only 1 genes with a direction and external expression")]
     d = sv.directions(e, s)
     assert {x["direction"] for x in d.collect()} == {-1}
     assert sv.signature(e, d).count() == n
