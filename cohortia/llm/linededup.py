@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -162,20 +163,33 @@ def probe(index: DataFrame, lines: DataFrame, shards: int, salts: dict[int, int]
     return both.mapInArrow(run, "doc_id long, text_hash long, line_no int")
 
 
+def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """The text without its lines of these numbers; null without a text."""
+    def one(t: str | None, numbers: np.ndarray) -> str | None:
+        if t is None:
+            return None
+        drop = set(numbers.tolist())
+        return "\n".join(line for no, line in enumerate(t.split("\n")) if no not in drop)
+
+    return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with three columns more: ``n_lines`` (before), ``n_dropped``, ``kept_text``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code points that are
     found in at least ``min_docs`` documents lose all their lines, except in the largest doc_id that holds the key.
 
-    A null or empty text is one empty line and stays empty. A document is a row: a repeated row counts again, and all rows with
-    the largest doc_id keep the line. A null doc_id ranks below every other. Columns of ``docs`` named like the new ones are
+    A null or empty text is one empty line and stays empty. All rows of a doc_id are one document, and all rows with the largest
+    doc_id keep the line. A row with a null doc_id is a document of its own and ranks below every other. Columns of ``docs`` named like the new ones are
     replaced; others pass through. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     lines = cut_lineage(line_keys(docs, min_chars))
-    keys = cut_lineage(lines.groupBy("h1", "h2").agg(
-        F.sum(F.col("first").cast("long")).alias("n_docs"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")))
+    # rows of one doc_id are one document; counted by key and document first, so that a hot key is spread
+    by_doc = lines.groupBy("h1", "h2", "doc_id").agg(F.sum(F.col("first").cast("long")).alias("rows"), F.count(F.lit(1)).alias("n"))
+    keys = cut_lineage(by_doc.groupBy("h1", "h2").agg(
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("n_docs"), F.sum("n").alias("n"), F.max("doc_id").alias("holder")))
     # a unit holds about half of an average partition: a shard with more probes is split into several units
     units = 2 * shuffle_partitions(spark)
     shards = max(-(-keys.count() // SHARD_KEYS), units)
@@ -189,7 +203,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     gone = gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_hash").alias("__gone_text"), "__gone")
     out = base.join(gone, F.col("__line_doc").eqNullSafe(F.col("__gone_doc")) & (F.col("__line_text") == F.col("__gone_text")), "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    kept = F.pandas_udf(without_lines, "string")(F.when(F.col("__gone").isNotNull(), F.col("text")), "__gone")
     return out.select(*[c for c in base.columns if c not in ("__line_doc", "__line_text")], F.size(split).cast("long").alias("n_lines"),
                       F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
                       F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"))

@@ -249,3 +249,16 @@ def test_urls(spark):
     assert by[4][1:4] == ("org", "", None) and by[5][3] is None and len(got) == len(rows) and by[None][1:4] == ("example.org", "", None)
     held = [(u.replace("example", "sample"), y) for u, y in urls.LABELLED_URLS]
     assert sum((model.score(*urls.parts(u)) >= 0.5) == y for u, y in held) / len(held) > 0.95
+
+
+def test_lines_of_repeated_rows_and_long_texts(spark):
+    """Rows of one doc_id are one document; a row without an id is one of its own; many dropped lines in one text."""
+    other = "another line that is longer than forty characters, in five documents"
+    rows = [(1, LINE)] * 4 + [(2, LINE)] + [(d, other) for d in (3, 3, 4, None, None, 5)]
+    got = {(r["doc_id"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0), (3, 1), (4, 1), (None, 1), (5, 0)}
+    many = "\n".join(f"{LINE} number {i}\nkept {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(d, many) for d in range(5)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in linededup.dedup_lines(docs).collect()}
+    short = "\n".join(f"kept {i}" for i in range(20_000))
+    assert got == {**{d: (40_000, 20_000, short) for d in range(4)}, 4: (40_000, 0, many)}
