@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortia.operators.aggregates import distinct_samples, joined_names, universe
 from cohortia.operators.reshape import best_row
 from cohortia.operators.stats import cohens_d
+from cohortia.session import broadcast_if_small, cut_lineage
 
 # fixed values: clinical stage names and their number
 STAGE_NUMBER = {"PHASE_1": 1, "PHASE_1_2": 1, "PHASE_2": 2, "PHASE_2_3": 2, "PHASE_3": 3, "APPROVAL": 4}
@@ -62,25 +63,47 @@ def actionability(genes: DataFrame, tract: DataFrame, drugs: DataFrame) -> DataF
         (F.col("_ta").isNotNull() | F.col("_da").isNotNull()).alias("found"))
 
 
+def tractability_flags(buckets: DataFrame) -> DataFrame:
+    """buckets(gene_symbol, modality, label, value, ...) -> the same rows as buckets with gene-level flags.
+
+    The flags are one partially aggregated row per gene that is joined back, so a gene's buckets are never held together.
+    """
+    hit = F.col("value")
+    flags = cut_lineage(buckets.groupBy(F.col("gene_symbol").alias("_g")).agg(
+        F.bool_or(hit & (F.col("label") == APPROVED_LABEL)).alias("has_approved_drug"),
+        F.bool_or(hit & F.col("label").isin(CLINICAL_LABELS)).alias("has_clinical_drug")))
+    j = buckets.join(broadcast_if_small(flags), F.col("gene_symbol").eqNullSafe(F.col("_g")))
+    return j.select("gene_symbol", "modality", F.col("label").alias("bucket_label"), "value",
+                    *[c for c in buckets.columns if c not in ("gene_symbol", "modality", "label", "value")], "has_approved_drug", "has_clinical_drug")
+
+
 def flatten_tractability(targets: DataFrame) -> DataFrame:
     """targets(gene_symbol, tractability array<struct<modality,label,value>>) -> one row per bucket with gene-level flags."""
-    t = F.col("tractability")
-    appr = F.exists(t, lambda x: x["value"] & (x["label"] == APPROVED_LABEL))
-    clin = F.exists(t, lambda x: x["value"] & x["label"].isin(CLINICAL_LABELS))
-    x = targets.select("gene_symbol", appr.alias("has_approved_drug"), clin.alias("has_clinical_drug"), F.posexplode(t).alias("bucket_ix", "t"))
-    return x.select("gene_symbol", "t.modality", F.col("t.label").alias("bucket_label"), "t.value", "bucket_ix", "has_approved_drug", "has_clinical_drug")
+    x = targets.select("gene_symbol", F.posexplode("tractability").alias("bucket_ix", "t"))
+    return tractability_flags(x.select("gene_symbol", "t.modality", "t.label", "t.value", "bucket_ix"))
+
+
+def drug_rows(rows: DataFrame) -> DataFrame:
+    """rows(gene_symbol, drug_id, drug_name, stage, diseases array<struct<id,name>>) -> one row per row x disease.
+
+    Rows without a disease keep blanks; a disease repeated within a row is kept once, which its own array decides.
+    """
+    stage = F.create_map(*[F.lit(x) for kv in STAGE_NUMBER.items() for x in kv])
+
+    def disease_key(z):
+        name = F.coalesce(z["id"], F.lit(""))
+        return F.when(name != "", name).otherwise(F.coalesce(z["name"], F.lit("")))
+    keys = F.transform("diseases", disease_key)
+    once = F.filter("diseases", lambda z, i: F.array_position(keys, disease_key(z)) == i + 1)
+    x = rows.select("gene_symbol", "drug_id", "drug_name", F.col("stage").alias("max_phase_str"), F.explode_outer(once).alias("dz"))
+    return x.select("gene_symbol", "drug_id", "drug_name", "max_phase_str", F.coalesce(F.try_element_at(stage, F.col("max_phase_str")), F.lit(0)).alias("max_phase_num"),
+                    (F.col("max_phase_str") == "APPROVAL").alias("is_approved"), F.coalesce("dz.id", F.lit("")).alias("disease_id"), F.coalesce("dz.name", F.lit("")).alias("disease_name"))
 
 
 def flatten_drugs(targets: DataFrame) -> DataFrame:
     """targets(gene_symbol, rows array<struct<drug_id,drug_name,stage,diseases array<struct<id,name>>>>) -> one row per
     gene x drug x disease; rows without a disease keep blanks; a disease repeated within a row is kept once."""
-    stage = F.create_map(*[F.lit(x) for kv in STAGE_NUMBER.items() for x in kv])
-    x = targets.select("gene_symbol", F.posexplode("rows").alias("row_ix", "r")).select(
-        "gene_symbol", "row_ix", "r.drug_id", "r.drug_name", F.col("r.stage").alias("max_phase_str"), F.explode_outer("r.diseases").alias("dz"))
-    x = x.select("gene_symbol", "row_ix", "drug_id", "drug_name", "max_phase_str", F.coalesce(F.try_element_at(stage, F.col("max_phase_str")), F.lit(0)).alias("max_phase_num"),
-                 (F.col("max_phase_str") == "APPROVAL").alias("is_approved"), F.coalesce("dz.id", F.lit("")).alias("disease_id"), F.coalesce("dz.name", F.lit("")).alias("disease_name"))
-    x = x.withColumn("_dk", F.when(F.col("disease_id") != "", F.col("disease_id")).otherwise(F.col("disease_name")))
-    return x.dropDuplicates(["gene_symbol", "row_ix", "drug_id", "_dk"]).drop("row_ix", "_dk")
+    return drug_rows(targets.select("gene_symbol", F.explode("rows").alias("r")).select("gene_symbol", "r.*"))
 
 
 def census_genes(raw: DataFrame) -> DataFrame:
