@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortia.functions.text import ascii_java
 from cohortia.operators.ordered import running_by
 from cohortia.session import cut_lineage
 
@@ -90,11 +91,12 @@ def call_features(calls: DataFrame, why: str = WHY, expects: str = EXPECTS, stag
 
 
 def behaviour_flags(calls: DataFrame, code: dict[str, str] | None = None, reasoning: dict[str, str] | None = None) -> DataFrame:
-    """Per episode: whether any call's code, or any reasoning, matches each family. Per-row matching, then bool_or."""
+    """Per episode: whether any call's code, or any reasoning, matches each family. Per-row matching, then bool_or.
+    Word edges are ASCII and a dot stops at a line feed only, as in SQL."""
     code, reasoning = code or CODE_FAMILIES, reasoning or REASONING_FAMILIES
     return calls.groupBy("episode").agg(
-        *[F.bool_or(F.lower("input").rlike(p)).alias(n) for n, p in code.items()],
-        *[F.bool_or(F.lower("reasoning").rlike(p)).alias(n) for n, p in reasoning.items()])
+        *[F.bool_or(F.lower("input").rlike(ascii_java(p))).alias(n) for n, p in code.items()],
+        *[F.bool_or(F.lower("reasoning").rlike(ascii_java(p))).alias(n) for n, p in reasoning.items()])
 
 
 def statistic_mentions(df: DataFrame, text: str, pattern: str = STATISTIC, limit: int = 4) -> Column:
