@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortia.functions.text import ascii_java
+from cohortia.functions.text import ascii_java, ascii_python
 from cohortia.operators.ordered import running_by
 from cohortia.session import cut_lineage
 
@@ -203,11 +203,12 @@ def count_leak(texts: DataFrame, cohorts: DataFrame, window: int = 120) -> DataF
 # fixed values: kinds of the audit, and the expressions of its constant parts
 PATH_CHARS = r"[\w/\\.+-]*"
 MISLEAD = r"\bmislead\b"
+BLANKS = re.compile(r"[\t\n\f\r ]+")
 
 
 @lru_cache(maxsize=4096)
 def _compiled(rx: str) -> re.Pattern:
-    return re.compile(rx, re.IGNORECASE)
+    return re.compile(ascii_python(rx), re.IGNORECASE)
 
 
 def _audit_rules(text: str, author: str, label: str, arm: str, cohort: str, planted: str, seed: str, true: str, plant: str) -> Iterator[tuple[str, str]]:
@@ -239,7 +240,8 @@ def blinding_audit(texts: DataFrame, labels: DataFrame, synonyms: DataFrame, con
     and not in the arm whose definition is to disclose them (g0: true cohort; g3*: planted cohort).
 
     Texts meet the labels of their own episode by an equi-join and pass once; an expression is compiled once for a worker, and
-    only tried on texts that hold its literals. Null texts and null labels give no hit.
+    only tried on texts that hold its literals. Null texts and null labels give no hit. Word edges, word characters and blanks
+    are the ASCII ones of SQL.
     """
     true_p = synonyms.select("cohort", F.col("pattern").alias("_true"))
     plant_p = synonyms.select(F.col("cohort").alias("planted"), F.col("pattern").alias("_planted"))
@@ -256,7 +258,7 @@ def blinding_audit(texts: DataFrame, labels: DataFrame, synonyms: DataFrame, con
                     if m:
                         at.append(i)
                         kinds.append(kind)
-                        snippets.append(" ".join(row[0][max(0, m.start() - context):m.end() + context].split()))
+                        snippets.append(BLANKS.sub(" ", row[0][max(0, m.start() - context):m.end() + context]).strip(" "))
             ix = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(kinds, pa.string()), pa.array(snippets, pa.string())],
                                              names=["episode", "msg_ix", "kind", "snippet"])
