@@ -273,6 +273,8 @@ def replicate_kmeans(vectors: DataFrame, members: DataFrame, k: int, reps: int,
                     np.add.at(sums[rep, i], lab, w)
                     cost[rep, i] += dd.sum()
         r, i, j = np.nonzero(cnt)
+        if not len(r):  # a split of a file may hold no rows, and an empty column has no list type
+            return
         yield pd.DataFrame({"rep": r, "ini": i, "cl": j, "n": cnt[r, i, j], "s": list(sums[r, i, j]), "cost": 0.0})
         r, i = np.nonzero(cnt.sum(2))  # a run's cost is a row of its own: no partition need hold all clusters
         yield pd.DataFrame({"rep": r, "ini": i, "cl": -1, "n": 0.0, "s": [[0.0] * d] * len(r), "cost": cost[r, i]})

@@ -145,3 +145,17 @@ def test_replicate_kmeans_costs_add_up_over_partitions(spark):
     members = spark.createDataFrame([(0, s, i + 1) for i, s in enumerate(bad + good + rest)], "rep int, sample_id string, rn int")
     got = {r["sample_id"]: r["cluster"] for r in cl.replicate_kmeans(v, members, 4, 1, n_init=2).collect()}
     assert len(got) == 80 and len({(s[0], c) for s, c in got.items()}) == 4 == len(set(got.values()))
+
+
+def test_replicates_over_splits_without_rows(spark):
+    rows = [(i, str(i % 2), [float(i % 2) * 9 + i / 100, 1.0]) for i in range(40)]
+    x = spark.createDataFrame(rows, "sample_id long, label string, vec array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # most splits of a file then hold no row group
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = cl.bootstrap_stability(x.select("sample_id", "vec"), x.select("sample_id", "label"), reps=3).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r["rep"] for r in got) == [0, 1, 2] and all(r["ari"] == 1.0 for r in got)
