@@ -159,3 +159,20 @@ def test_replicates_over_splits_without_rows(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sorted(r["rep"] for r in got) == [0, 1, 2] and all(r["ari"] == 1.0 for r in got)
+
+
+def test_copies_are_at_zero_and_ties_go_to_the_smaller_neighbour(spark):
+    v = np.random.default_rng(3).normal(size=(3, 16)) * 1e3
+    x = _vec(spark, np.repeat(v, 12, axis=0))
+    got = cl.nearest_neighbours(x, 4, block=7).toPandas()
+    for i, g in got.groupby("sample_id"):
+        first = i // 12 * 12
+        assert list(g["dist"]) == [0.0] * 4 and set(g["neighbour"]) == set([j for j in range(first, first + 12) if j != i][:4])
+
+
+def test_all_pairs_move_no_vectors(spark, planted, capsys):
+    x, g = planted
+    for df in (cl.nearest_neighbours(_vec(spark, x), 4, block=9), cl.silhouette_samples(_vec(spark, x).join(_grp(spark, g), "sample_id"), block=9)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
