@@ -236,6 +236,7 @@ def bootstrap_weights(surv: DataFrame, reps: int, seed: int) -> DataFrame:
 
 def sign_stability(expr: DataFrame, surv: DataFrame, reps: int, seed: int) -> DataFrame:
     """Share of bootstrap replicates in which each gene keeps its full-data Cox sign."""
+    expr, surv = cut_lineage(expr), cut_lineage(surv)
     full = directions(expr, surv)
     s = bootstrap_weights(surv, reps, seed).join(surv, "sample_id")
     d = cut_lineage(gene_cox(expr.join(full, "feature", "left_semi").join(s, "sample_id"), None, ["rep"]))
@@ -249,6 +250,7 @@ def sign_stability(expr: DataFrame, surv: DataFrame, reps: int, seed: int) -> Da
 def cv_signature(expr: DataFrame, surv: DataFrame, k: int, seed: int, top: int | None = None) -> DataFrame:
     """K-fold cross-validated signature: directions (and optionally the top genes by Cox p) from the training folds
     only, scores on the held-out fold, one Cox over all held-out samples."""
+    expr, surv = cut_lineage(expr), cut_lineage(surv)
     f = cut_lineage(folds(surv, k, seed))
     # training rows of fold i are all rows of the other folds: tag each row with the k-1 models it trains
     tags = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("fold"))
@@ -264,6 +266,7 @@ def cv_signature(expr: DataFrame, surv: DataFrame, k: int, seed: int, top: int |
 
 def leave_out_stability(expr: DataFrame, surv: DataFrame, reps: int, seed: int, keep: float = 0.9) -> DataFrame:
     """SD over replicates of the in-sample signature log HR when a tenth of the samples is left out."""
+    expr, surv = cut_lineage(expr), cut_lineage(surv)
     r = draw_order(_replicates(surv.select("sample_id"), reps), ["rep"], seed, ["sample_id"])
     n = surv.count()
     kept = cut_lineage(r.where(F.col("rn") <= int(round(n * keep))).select("rep", "sample_id"))
@@ -319,6 +322,7 @@ def survival_replication(expr: DataFrame, surv: DataFrame, ext_expr: DataFrame,
     figures of the fit and the verdict are null, and ``reason`` says why (null otherwise).
     """
     spark = expr.sparkSession
+    ext_expr, ext_surv = cut_lineage(ext_expr), cut_lineage(ext_surv)
     dirs = directions(expr.join(genes, "feature", "left_semi"), surv)
     ctl = [(name, g, 1) for name, gs, _ in controls for g in gs]
     ctl_df = spark.createDataFrame(ctl, "signature string, feature string, direction int")

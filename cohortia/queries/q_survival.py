@@ -7,6 +7,7 @@ from cohortia.operators import survival as sv
 from cohortia.queries import sqltails as st
 from cohortia.queries.registry import query, r, rounded
 from cohortia.queries.shapes import COUNTS, SURV_CUST, SURV_LINES, counts, surv_cust, surv_lines, table, with_sql
+from cohortia.session import cut_lineage
 
 
 def cox_sql(src: str, iters: int = 9) -> list[str]:
@@ -239,7 +240,7 @@ def leave_out(spark, d):
 
 
 def _two_cohorts(spark, d):
-    c, s = counts(spark, d), surv_cust(spark, d)
+    c, s = cut_lineage(counts(spark, d)), cut_lineage(surv_cust(spark, d))  # each is read by both cohorts
     even = F.col("sample_id") % 2 == 0
     return c.where(even), s.where(even), c.where(~even), s.where(~even)
 

@@ -146,3 +146,15 @@ def test_folds_are_balanced_and_complete(spark):
 def test_bootstrap_has_the_cohort_size_in_each_replicate(spark):
     b = sv.bootstrap_weights(spark.range(50).withColumnRenamed("id", "sample_id"), 3, 1).groupBy("rep").count().collect()
     assert {r["count"] for r in b} == {50}
+
+
+def test_cohort_inputs_are_computed_once(spark, tmp_path):
+    """Both cohorts of the replication read stored tables, not the joins behind them."""
+    from cohortia.queries import q_survival as q
+    days = "make_timestamp(2020, 1, 1, 0, 0, 0) + make_dt_interval(CAST({} AS INT))"
+    spark.range(60).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey", days.format("0") + " AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(60).selectExpr("id AS l_orderkey", "id % 4 AS l_partkey", "CAST(id AS DOUBLE) AS l_quantity", days.format("1 + id") + " AS l_shipdate",
+                               "IF(id % 3 = 0, 'R', 'N') AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4).selectExpr("id AS p_partkey", "'B' || id AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    for df in q._two_cohorts(spark, str(tmp_path)):
+        assert df.count() > 0 and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
