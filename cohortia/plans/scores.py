@@ -150,6 +150,7 @@ def gene_evidence(expr: DataFrame, grp: DataFrame, surv: DataFrame, genes: DataF
 
     Expression families cover every gene of the matrix; methylation and copy number are tested for submitted genes only.
     """
+    expr = cut_lineage(expr)
     de = stats.bh_fdr(stats.anova(expr, grp).select("feature", "p"), []).select("feature", F.col("p").alias("de_p"), F.col("fdr").alias("de_fdr"))
     sv = stats.bh_fdr(stats.survival_spearman(expr, surv).select("feature", "p"), []).select("feature", F.col("p").alias("surv_p"), F.col("fdr").alias("surv_fdr"))
     known = expr.select("feature").distinct().withColumn("valid", F.lit(True))

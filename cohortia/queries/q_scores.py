@@ -10,6 +10,7 @@ from cohortia.queries.q_stats import _ANOVA, _SPEAR, bh_cte
 from cohortia.queries.registry import query, r, rounded
 from cohortia.queries.shapes import (COUNTS, EXPR, GRP, SEGMENT, SURV_CUST, counts, expr, grp, segment, surv_cust, table,
                                      with_sql)
+from cohortia.session import cut_lineage
 
 
 @query("structure_validity_score")
@@ -107,7 +108,7 @@ def pathway(spark, d):
 
 @query("coexpression_replication_score")
 def coexpression(spark, d):
-    c = counts(spark, d)
+    c = cut_lineage(counts(spark, d))  # read by all three cohorts
     third = F.col("sample_id") % 3
     return rounded(sc.coexpression_replication(c.where(third == 0), surv_cust(spark, d), c.where(third == 1), c.where(third == 2), _genes(spark, d)))
 
