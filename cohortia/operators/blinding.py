@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortia.operators.aggregates import universe
 from cohortia.operators.ordered import draw_key, draw_order, quantile_bins, running
 from cohortia.operators.reshape import remap_categories, rename_by_map
-from cohortia.session import cut_lineage, distinct_values
+from cohortia.session import broadcast_if_small, cut_lineage, distinct_values, spread
 
 # fixed values: columns that reveal disease, tissue, subtype or demographics and never reach the analyst
 ALWAYS_STRIP = [
@@ -175,7 +175,11 @@ def cna_from_peaks(calls: DataFrame, peak_genes: DataFrame, additions: DataFrame
 
     calls(sample_id, peak, kind, level), peak_genes(kind, peak, gene); ``additions`` has the shape of ``peak_genes`` and
     lets a peak lend its calls to further genes. Neutral pairs are absent (complete the grid only on request).
+    A sample's calls are brought together before they are expanded to genes, so what is shuffled is calls, not genes.
     """
     pg = peak_genes if additions is None else peak_genes.unionByName(additions)
-    ev = calls.where(F.col("level") > 0).join(pg.distinct(), ["kind", "peak"])
+    pg = cut_lineage(pg.select("kind", "peak", "gene").distinct())
+    ev = cut_lineage(calls.where(F.col("level") > 0).select("sample_id", "peak", "kind").distinct())
+    width = pg.groupBy("kind", "peak").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.avg("n"), F.lit(1.0))).first()[0]
+    ev = spread(ev, ["sample_id"], int(ev.count() * width)).join(broadcast_if_small(pg), ["kind", "peak"])
     return ev.groupBy("sample_id", "gene").agg(F.when(F.max(F.col("kind") == "amp"), 1).otherwise(-1).alias("call"))

@@ -53,6 +53,12 @@ def co_locate(df: DataFrame, cols: list[str]) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def spread(df: DataFrame, cols: list[str], rows: int, per_task: int = 4_000_000) -> DataFrame:
+    """``df`` placed by ``cols`` in so many partitions that ``rows`` rows of later work are ``per_task`` for each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(n, -(-rows // per_task)), *cols)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True when ``df`` holds at most ``rows`` rows; reads no more than ``rows`` + 1 of them."""
     return df.limit(rows + 1).count() <= rows

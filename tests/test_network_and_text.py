@@ -105,6 +105,17 @@ def test_amplification_wins(spark):
     assert {(r["sample_id"], r["call"]) for r in bl.cna_from_peaks(c, pg).collect()} == {("s", 1), ("r", -1)}
 
 
+def test_calls_are_placed_by_sample_before_they_become_genes(spark):
+    c = spark.range(4000).selectExpr("id % 50 sample_id", "concat('p', id % 20) peak", "IF(id % 3 = 0, 'amp', 'del') kind", "1.0D level")
+    pg = spark.range(2000).selectExpr("IF(id % 2 = 0, 'amp', 'del') kind", "concat('p', id % 20) peak", "concat('g', id % 70) gene")
+    got = bl.cna_from_peaks(c, pg)
+    want = c.join(pg.distinct(), ["kind", "peak"]).groupBy("sample_id", "gene").agg(F.max((F.col("kind") == "amp").cast("int")).alias("a"))
+    assert {tuple(r) for r in got.collect()} == {(r[0], r[1], 1 if r[2] else -1) for r in want.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("gene" not in x for x in moved)
+
+
 def test_stream_drops_late_rows(spark, tmp_path):
     src = tmp_path / "in"
     schema = "ts timestamp, arm string, input_tokens long, output_tokens long, exec_time_s double, is_error boolean"
