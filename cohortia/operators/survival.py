@@ -60,12 +60,13 @@ def _quad_form(z: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _label_cells(df: DataFrame, by: Sequence[str], labels: list) -> DataFrame:
-    """Per (by, duration): n_i and d_i for each of the k labels side by side, stored once."""
+def _label_cells(df: DataFrame, by: Sequence[str], labels: list, weight: str | None = None) -> DataFrame:
+    """Per (by, duration): n_i and d_i for each of the k labels side by side, stored once. ``weight``: rows a row stands for."""
     cols = []
     for i, g in enumerate(labels):
         hit = F.col("label") == F.lit(g)
-        cols += [F.count(F.when(hit, 1)).alias(f"n{i}"), F.coalesce(F.sum(F.when(hit, F.col("event"))), F.lit(0)).alias(f"d{i}")]
+        n = F.coalesce(F.sum(F.when(hit, F.col(weight))), F.lit(0)) if weight else F.count(F.when(hit, 1))
+        cols += [n.alias(f"n{i}"), F.coalesce(F.sum(F.when(hit, F.col("event"))), F.lit(0)).alias(f"d{i}")]
     return cut_lineage(df.where("label IS NOT NULL").groupBy(*by, "duration").agg(*cols))
 
 
@@ -100,12 +101,14 @@ def concordance(df: DataFrame, by: Sequence[str] = (), labels: list | None = Non
 
     The score has as many levels as labels, so pairs are counted from per-level suffix sums.
     """
-    labels = labels or distinct_values(df, "label", MAX_GROUPS)
+    cells = cut_lineage(df.where("label IS NOT NULL").groupBy(*by, "label", "duration").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("event").alias("event")))
+    labels = labels or distinct_values(cells, "label", MAX_GROUPS)
     k = len(labels)
-    med = group_medians(df, by)
+    med = quantiles(cells, [*by, "label"], "duration", {"median": 0.5}, weight="_n")
     sc = med.groupBy(*by).agg(*[F.max(F.when(F.col("label") == F.lit(g), F.col("median"))).alias(f"m{i}")
                                 for i, g in enumerate(labels)])
-    r = running_by(_label_cells(df, by, labels), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
+    r = running_by(_label_cells(cells, by, labels, "_n"), by, ["duration"], {f"r{i}": ("sum", f"n{i}") for i in range(k)},
                 descending=True).where(" + ".join(f"d{i}" for i in range(k)) + " > 0")
     j = r.join(sc, list(by)) if by else r.join(F.broadcast(sc), on=F.lit(True))
     after = F.array(*[(F.col(f"r{i}") - F.col(f"d{i}")).cast("double") for i in range(k)])

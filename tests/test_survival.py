@@ -110,6 +110,17 @@ def test_concordance_matches_pair_enumeration(spark, cohort):
     assert sv.concordance(spark.createDataFrame(c)).first()["c_index"] == pytest.approx(num / den)
 
 
+def test_concordance_reads_its_rows_once(spark, cohort):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    df = spark.createDataFrame(cohort.head(80)).select("label", "duration", "event")
+    assert sv.concordance(df.mapInPandas(note, df.schema)).count() == 1 and seen.value == 80
+
+
 def test_survival_table_rules(spark):
     rows = [("a", "Dead", "10", None), ("b", "deceased (x)", "bad", "5"), ("c", "Alive", "3", "7"), ("d", None, None, "0"), ("e", "alive", None, "NaN"), ("f", "alive", None, "-2")]
     got = {r["sample_id"]: (r["duration"], r["event"]) for r in sv.survival_table(spark.createDataFrame(rows, "sample_id string, vital_status string, days_to_death string, days_to_last_follow_up string")).collect()}
