@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.session import broadcast_if_small, cut_lineage
+from cohortia.session import broadcast_if_small, cut_lineage, small_enough, spread
 
 
 def split_by_relation(edges: DataFrame, relations: list[str], path: str) -> None:
@@ -30,9 +30,15 @@ def confident_edges(links: DataFrame, names: DataFrame, min_score: int = 700) ->
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(u, v) with u < v, distinct, no loops."""
+    """(u, v) with u < v, distinct, no loops. A task's hash table holds about a million pairs, whatever the size of its input."""
     u, v = F.least("src", "dst"), F.greatest("src", "dst")
-    return edges.where("src <> dst").select(u.alias("u"), v.alias("v")).distinct()
+    pairs = cut_lineage(edges.where("src <> dst").select(u.alias("u"), v.alias("v")))
+    return spread(pairs, ["u", "v"], pairs.count(), 1_000_000).distinct()
+
+
+def _by_rows(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast up to so many rows, merge beyond: a file of node names is a small part of its hash table, so Catalyst's bytes mislead."""
+    return F.broadcast(df) if small_enough(df, rows) else df.hint("merge")
 
 
 def degree_weights(edges: DataFrame, penalty: bool = True) -> DataFrame:
@@ -41,8 +47,8 @@ def degree_weights(edges: DataFrame, penalty: bool = True) -> DataFrame:
     if not penalty:
         return e.withColumn("weight", F.lit(1.0))
     deg = cut_lineage(e.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
-    x = e.join(deg.select(F.col("node").alias("u"), F.col("deg").alias("_du")), "u")
-    x = x.join(deg.select(F.col("node").alias("v"), F.col("deg").alias("_dv")), "v")
+    x = e.join(_by_rows(deg.select(F.col("node").alias("u"), F.col("deg").alias("_du"))), "u")
+    x = x.join(_by_rows(deg.select(F.col("node").alias("v"), F.col("deg").alias("_dv"))), "v")
     return x.select("u", "v", ((F.col("_du") + F.col("_dv")) / 2.0).alias("weight"))
 
 
@@ -63,7 +69,7 @@ def nearest_terminal(weights: DataFrame, terminals: DataFrame, max_rounds: int |
         if rounds == max_rounds:
             raise RuntimeError(f"distances still improve after {max_rounds} rounds")
         rounds += 1
-        front = broadcast_if_small(state.where("fresh").select("node", "dist", "terminal"))
+        front = _by_rows(state.where("fresh").select("node", "dist", "terminal"))
         step = both.join(front, "node").groupBy(F.col("nbr").alias("node")).agg(
             F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("terminal"), F.col("node").alias("parent"), F.lit(True).alias("fresh"))).alias("b"))
         old = state.select("node", F.struct("dist", "terminal", "parent", F.lit(False).alias("fresh")).alias("o"))
@@ -101,17 +107,18 @@ def steiner_tree(weights: DataFrame, terminals: DataFrame, max_terminals: int =
     spark = weights.sparkSession
     if terminals.limit(max_terminals + 1).count() > max_terminals:
         raise ValueError(f"more than {max_terminals} terminals")
+    weights = cut_lineage(weights)
     near = nearest_terminal(weights, terminals)
     a = near.select(F.col("node").alias("u"), F.col("dist").alias("du"), F.col("terminal").alias("tu"))
     b = near.select(F.col("node").alias("v"), F.col("dist").alias("dv"), F.col("terminal").alias("tv"))
-    cross = weights.join(a, "u").join(b, "v").where("tu <> tv")
+    cross = weights.join(_by_rows(a), "u").join(_by_rows(b), "v").where("tu <> tv")
     link = F.struct((F.col("du") + F.col("weight") + F.col("dv")).alias("cost"), F.col("u"), F.col("v"), F.col("weight"))
     pairs = cross.groupBy(F.least("tu", "tv").alias("t1"), F.greatest("tu", "tv").alias("t2")).agg(F.min(link).alias("l"))
     rows = [(r.t1, r.t2, r.l.cost, r.l.u, r.l.v, r.l.weight) for r in pairs.collect()]  # <= terminals^2 / 2
     chosen = [(p[3], p[4], float(p[5])) for p in _spanning_tree(rows)]
     tree = spark.createDataFrame(chosen, "u string, v string, weight double")
     front = cut_lineage(tree.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    steps = near.where("parent IS NOT NULL").join(near.select(F.col("node").alias("parent"), F.col("dist").alias("dp")), "parent").select(
+    steps = near.where("parent IS NOT NULL").join(_by_rows(near.select(F.col("node").alias("parent"), F.col("dist").alias("dp"))), "parent").select(
         "node", "parent", (F.col("dist") - F.col("dp")).alias("weight"))
     steps = cut_lineage(steps)
     while True:

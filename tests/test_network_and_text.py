@@ -99,6 +99,14 @@ def test_swap_round_robin(spark):
     assert out[9] == 9.0 and sorted(out[i] for i in range(6)) == [6, 6, 7, 7, 8, 8] and len({out[i] for i in (6, 7, 8)}) == 3 and all(out[i] < 6 for i in (6, 7, 8))
 
 
+def test_many_nodes_are_not_broadcast(spark):
+    # 260,000 node names are a file of a few MB, which Catalyst would broadcast to every task
+    chain = spark.range(260_000).selectExpr("concat('n', id) src", "concat('n', id + 1) dst")
+    w = net.degree_weights(chain)
+    assert "Broadcast" not in w._jdf.queryExecution().executedPlan().toString()
+    assert {(r["weight"], r["n"]) for r in w.groupBy("weight").agg(F.count("*").alias("n")).collect()} == {(2.0, 259_998), (1.5, 2)}
+
+
 def test_amplification_wins(spark):
     c = spark.createDataFrame([("s", "p", "amp", 1.0), ("s", "q", "del", 2.0), ("r", "q", "del", 1.0), ("r", "p", "amp", 0.0)], "sample_id string, peak string, kind string, level double")
     pg = spark.createDataFrame([("amp", "p", "G"), ("del", "q", "G")], "kind string, peak string, gene string")
