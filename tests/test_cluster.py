@@ -1,5 +1,7 @@
 """Clustering, agreement and fusion: planted signal, invariants, NumPy references."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,6 +124,21 @@ def test_network_fusion_over_blocks(spark, planted, monkeypatch):
     assert factors.count() == 60
 
 
+def test_fusion_of_two_views_stores_no_matrix(spark, monkeypatch):
+    rng, n = np.random.default_rng(5), 400
+    a, b = rng.normal(size=(n, 40)), rng.normal(size=(n, 50))
+    tables = Path(spark.conf.get("spark.checkpoint.dir")) / "tables"
+    before, caught = set(tables.glob("*")), {}
+    monkeypatch.setattr(fusion, "_spectral", lambda fused, sizes, order, *rest: caught.update(m=fused.toPandas(), o=order.toPandas()))
+    fusion.network_fusion({"a": _vec(spark, a), "b": _vec(spark, b)}, 3, n_iter=8, block=100)
+    stored = sum(f.stat().st_size for t in set(tables.glob("*")) - before for f in t.glob("*.parquet"))
+    assert stored < 8 * 2 * 8 * n * n  # what the iterations alone took as matrices
+    o = caught["o"].set_index("ix")["sample_id"].sort_index().to_numpy()
+    got = np.block([[np.frombuffer(r.data).reshape(100, 100) for r in g.sort_values("jb").itertuples()] for _, g in caught["m"].groupby("ib")])
+    want = _snf_reference([a[o], b[o]], 20, 8)
+    assert np.allclose(got, (want + want.T) / 2, atol=1e-12)
+
+
 def test_multimodal_entry_guards(spark, planted):
     e = spark.createDataFrame([(1, "f", 1.0)], "sample_id int, feature string, value double")
     with pytest.raises(ValueError):
