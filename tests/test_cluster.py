@@ -139,6 +139,28 @@ def test_fusion_of_two_views_stores_no_matrix(spark, monkeypatch):
     assert np.allclose(got, (want + want.T) / 2, atol=1e-12)
 
 
+def test_fusion_of_two_views_passes_each_pair_once(spark, monkeypatch):
+    """Odd number of steps, views of unlike groups: 2 x 5 + 1 multiplications for each width of columns tried, and few columns to the eigenvectors."""
+    rng, n = np.random.default_rng(11), 90
+    a, b = rng.normal(size=(n, 6)), rng.normal(size=(n, 9))
+    a[:, :3] += 5 * np.eye(3)[np.arange(n) % 3]
+    b[:, :2] += 4 * np.eye(2)[np.arange(n) // 45]
+    caught, steps, pairs = {}, [], []
+    step, product = fusion._Chain.step, fusion._Chain._product
+    monkeypatch.setattr(fusion._Chain, "step", lambda self, *x, **y: (steps.append(y), step(self, *x, **y))[1])
+    monkeypatch.setattr(fusion._Chain, "_product", lambda self, *x: (pairs.append(product(self, *x).count()), product(self, *x))[1])
+    monkeypatch.setattr(fusion, "_spectral", lambda fused, sizes, order, *rest: caught.update(f=fused, o=order.toPandas()))
+    fusion.network_fusion({"a": _vec(spark, a), "b": _vec(spark, b)}, 3, n_iter=5, block=30)
+    assert sum(bool(y) for y in steps) == 1 and (len(steps) - 6) % 5 == 0 and pairs == [9, 9, *[6] * len(steps)]
+    o = caught["o"].set_index("ix")["sample_id"].sort_index().to_numpy()
+    want = _snf_reference([a[o], b[o]], 9, 5)
+    got = np.block([[np.frombuffer(r.data).reshape(30, 30) for r in g.sort_values("jb").itertuples()] for _, g in caught["f"].toPandas().groupby("ib")])
+    assert np.allclose(got, (want + want.T) / 2, atol=1e-11)
+    y = spark.createDataFrame([(i, bytearray(np.eye(90)[30 * i:30 * i + 30, :2].tobytes())) for i in range(3)], "blk int, data binary")
+    times = {r["blk"]: np.frombuffer(r["data"]).reshape(30, 2) for r in caught["f"].times(y, 2).collect()}
+    assert np.allclose(np.vstack([times[i] for i in range(3)]), got[:, :2], atol=1e-13)
+
+
 def test_multimodal_entry_guards(spark, planted):
     e = spark.createDataFrame([(1, "f", 1.0)], "sample_id int, feature string, value double")
     with pytest.raises(ValueError):
