@@ -49,6 +49,39 @@ def test_silhouette_matches_brute_force_over_blocks(spark, planted):
     assert np.allclose(got, s, atol=1e-9) and got.between(-1, 1).all()
 
 
+def test_silhouettes_of_several_labelings_from_one_pass(spark, planted, monkeypatch):
+    """Also a label that nobody has, a label of one sample, and a single label."""
+    x, g = planted
+    labels = np.stack([g, np.arange(60) % 2, np.where(np.arange(60) == 7, 1, 0), np.zeros(60, int)], axis=1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for lab in labels.T:
+        s = []
+        for i in range(60):
+            mine = (lab == lab[i]) & (np.arange(60) != i)
+            rest = [d[i, lab == k].mean() for k in set(lab) - {lab[i]}]
+            s.append((min(rest) - d[i, mine].mean()) / max(min(rest), d[i, mine].mean()) if mine.any() and rest else 0.0)
+        want.append(np.mean(s))
+    df = spark.createDataFrame([(i, [int(a) for a in lab], [float(a) for a in r]) for i, (lab, r) in enumerate(zip(labels, x))], "sample_id int, labels array<int>, vec array<double>")
+    got = {r["ix"]: (r["silhouette"], r["n"]) for r in cl.silhouettes(df, [4, 2, 2, 1], block=13).collect()}
+    assert [got[i][1] for i in range(4)] == [60] * 4 and np.allclose([got[i][0] for i in range(4)], want, atol=1e-9)
+
+
+def test_k_scan_computes_distances_once(spark, planted, monkeypatch):
+    x, _ = planted
+    passes, real = [], cl.silhouettes
+    monkeypatch.setattr(cl, "silhouettes", lambda *a, **k: (passes.append(1), real(*a, **k))[1])
+    monkeypatch.setattr(cl, "_all_pairs", lambda *a, **k: pytest.fail("a pass of all pairs for one k"))
+    v = _vec(spark, x)
+    got = {r["k"]: r for r in cl.k_scan(v, [2, 3]).collect()}
+    assert passes == [1] and sorted(got) == [2, 3] and got[3]["min_size"] == 20 and got[3]["eligible"]
+    monkeypatch.undo()
+    for k in (2, 3):
+        lab = cl.kmeans(v, k).withColumnRenamed("cluster", "label").join(v, "sample_id")
+        assert got[k]["silhouette"] == pytest.approx(cl.silhouette(lab).first()["silhouette"], abs=1e-9)
+        assert got[k]["ch"] == pytest.approx(cl.calinski_harabasz(lab).first()["ch"], rel=1e-9)
+
+
 def test_nearest_neighbours_over_blocks(spark, planted):
     x, _ = planted
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
